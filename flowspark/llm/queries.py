@@ -8,12 +8,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, quality_rules, source_mixing, token_counts
+from . import exact_topk, minhash_dedup, pii, quality_rules, source_mixing, token_counts
 from .common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.link(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
+
+
+_OP1 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS a, generate_subscripts(w, 1) AS i, len(w) AS n FROM d WHERE len(w) > 0),
+q AS (SELECT doc_id, n, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c, lead(a, 3) OVER o AS d, lead(a, 4) OVER o AS e FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT doc_id, hash(concat_ws(' ', a, b, c, d, e)) AS h FROM q WHERE (n >= 5 AND i <= n - 4) OR (n < 5 AND i = 1)),
+k AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+x AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT u, v FROM x JOIN k ku ON ku.doc_id = u JOIN k kv ON kv.doc_id = v WHERE 100 * shared >= 85 * (ku.n + kv.n - shared)),
+g AS (SELECT u AS a, v AS b FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT g.a, r.root FROM r JOIN g ON g.b = r.doc_id)
+SELECT documents.doc_id, coalesce(k.n, 0)::BIGINT AS n_shingles, min(r.root) AS component_id, documents.doc_id = min(r.root) AS kept
+FROM documents LEFT JOIN k USING (doc_id) JOIN r ON r.doc_id = documents.doc_id GROUP BY documents.doc_id, k.n
+"""
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -86,11 +105,17 @@ r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size
 SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT))::BIGINT AS taken FROM r
 """
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.tag(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op3_exact_topk": op3_exact_topk,
     "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op7_source_mixing": op7_source_mixing,
+    "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {"op3_exact_topk": _OP3, "op6_quality_rules": _OP6, "op7_source_mixing": _OP7}
+ORACLES: dict[str, str] = {"op1_minhash_dedup": _OP1, "op3_exact_topk": _OP3, "op6_quality_rules": _OP6, "op7_source_mixing": _OP7}
