@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, minhash_dedup, pii, quality_rules, source_mixing, token_counts
+from . import exact_topk, lm_scoring, minhash_dedup, pii, quality_rules, source_mixing, token_counts
 from .common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,6 +46,13 @@ SELECT * FROM r WHERE rank <= 20
 """
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, unigrams = lm_scoring.fit(docs.where(~lm_scoring.held_out(F.col("doc_id"))))
+    out = lm_scoring.score(docs, model, unigrams)
+    return out.select("doc_id", lm_scoring.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512, keep_text=False)
@@ -112,6 +119,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op3_exact_topk": op3_exact_topk,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op7_source_mixing": op7_source_mixing,
