@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, lm_scoring, minhash_dedup, pii, quality_rules, source_mixing, token_counts
+from . import exact_topk, lm_scoring, minhash_dedup, pii, quality_rules, sentencepiece_sampling, source_mixing, token_counts
 from .common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -112,6 +112,14 @@ r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size
 SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT))::BIGINT AS taken FROM r
 """
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentencepiece_sampling.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, alpha=1.0, seed=8)
+    out = sentencepiece_sampling.decode(coded, path)
+    ids = F.sha2(F.array_join("pieces", ","), 256)
+    return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), "n_pieces", ids.alias("pieces_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.tag(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
 
@@ -123,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op7_source_mixing": op7_source_mixing,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_pii": op10_pii,
 }
 
