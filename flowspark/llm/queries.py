@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, lm_scoring, minhash_dedup, pii, quality_rules, sentencepiece_sampling, source_mixing, token_counts
+from . import exact_topk, kneser_ney, lm_scoring, minhash_dedup, pii, quality_rules, sentencepiece_sampling, source_mixing, token_counts, warc
 from .common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +33,11 @@ FROM documents LEFT JOIN k USING (doc_id) JOIN r ON r.doc_id = documents.doc_id
 """
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.derive(warc.responses_of(pages), keep=("page_id",)).drop("block", "record")
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -120,18 +125,26 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), "n_pieces", ids.alias("pieces_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+    return kneser_ney.classify(docs, trusted, keep_text=False)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.tag(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_warc": op2_warc,
     "op3_exact_topk": op3_exact_topk,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op7_source_mixing": op7_source_mixing,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_pii": op10_pii,
 }
 
