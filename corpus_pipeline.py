@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowspark.llm import minhash_dedup, pii, quality_rules, sentencepiece_sampling, source_mixing
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    """docs with n_chars of the texts as they are now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; lines above their host's limit leave the others' texts."""
-    return quality_rules.clean(docs.select(*COLUMNS))
+    return _measured(quality_rules.clean(docs.select(*COLUMNS)))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +28,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts becomes its kind in brackets; every document stays."""
-    return pii.mask(docs.select(*COLUMNS))
+    return _measured(pii.mask(docs.select(*COLUMNS)))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
