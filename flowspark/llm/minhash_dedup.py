@@ -7,15 +7,16 @@
 3. Prefix: with a class's values ordered by how many classes have them, two classes that agree in MATCHES of POSTED
    share one of the first POSTED - MATCHES + 1. Only these are joined, so common values (of a passage that many
    documents share) are hardly ever posted.
-4. Links are found in three rounds. Stars: every class in a list of postings meets the list's least class. Then every
-   class meets its NEAREST best matches of each other component in its lists, then all matches of other components.
-   Between rounds components are contracted: a list within one component is skipped as a whole, and classes of a
-   list's main component meet only those outside it. A list is worked in blocks of BLOCK by BLOCK classes, so a list
-   of any length is spread over tasks; a match means at least the threshold of all COORDINATES.
-5. Every match is confirmed on the full sets before it links.
+4. Stars: every class in a list of postings meets the list's least class; the matches are confirmed on the full sets, and
+   linked classes are contracted to components. In a group of near copies this joins most at a cost in proportion to it.
+5. Lists that still hold several components tie these to families. In a family only pairs of different components are
+   left, and one link between two components settles all of theirs. They are tested in blocks of BLOCK by BLOCK classes,
+   of which the family's main component meets only the others; so a family of any size is spread over tasks, each block
+   counts the collisions of its pairs, confirms those above the threshold on the full sets, and gives only the links that
+   join two components.
 
-No list, partner or candidate is capped: the last round leaves out only pairs that are linked already, or that agree
-in too few coordinates.
+No list, partner or candidate is capped: left out are only pairs that are linked already, or that agree in too few
+coordinates.
 
 Defined results: null and empty texts, or texts without words, have no shingles and link with nothing; fewer than
 SHINGLE words are one shingle; rows without a doc_id link with nothing (component null, kept false); repeated rows
@@ -39,8 +40,7 @@ from .components import components
 SHINGLE = 5
 POSTED, COORDINATES = 64, 256
 MISS = 1e-6
-BLOCK = 512
-NEAREST = 4
+BLOCK = 256
 OWN = ("n_shingles", "component_id", "kept", "__class")
 
 _rng = np.random.default_rng(20240229)
@@ -181,15 +181,24 @@ def _stars(postings: DataFrame, classes: DataFrame, percent: int, least: int) ->
     return pairs.join(a, "u").join(b, "v").where(_fits(percent)).select("u", "v", "ga", "gb").mapInArrow(_agree(least), "u long, v long")
 
 
-def _first_shared(x: list[int], y: list[int]) -> int:
-    return min(set(x) & set(y))
+class _Union:
+    def __init__(self, names):
+        self.up = {n: n for n in names}
 
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
 
-def _block_pairs(percent: int, least: int, nearest: int | None):
-    """Matches between components within one block: rows of one (token, i, j), those outside the main component marked."""
+
+def _block_links(percent: int, least: int):
+    """Links between components within one block: of rows with columns, and confirmed on the full sets at once.
+
+    Once two components are linked here, their other pairs need no test. So a block gives fewer links than it has rows.
+    """
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        token = table.column("token")[0].as_py()
         side = np.asarray(table.column("side"))
         rows, cols = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if not len(rows) or not len(cols):
@@ -197,6 +206,9 @@ def _block_pairs(percent: int, least: int, nearest: int | None):
         ids, labels, n = (np.asarray(table.column(c)) for c in ("class", "label", "n"))
         sig = sketch(table.column("sig").to_pylist())
         right = np.ascontiguousarray(sig[cols].T)
+        sets = table.column("shingles").combine_chunks()
+        full = lambda k: np.frombuffer(sets[k].as_buffer(), U64)
+        union = _Union(labels.tolist())
         us, vs = [], []
         for r in rows:
             other = (labels[cols] != labels[r]) & (100 * np.minimum(n[cols], n[r]) >= percent * np.maximum(n[cols], n[r]))
@@ -206,70 +218,72 @@ def _block_pairs(percent: int, least: int, nearest: int | None):
             if not len(near):
                 continue
             matches = (right[:, near] == sig[r][:, None]).sum(axis=0)
-            near, matches = near[matches >= least], matches[matches >= least]
-            if nearest is not None and len(near) > nearest:
-                order = np.argsort(-matches, kind="stable")
-                lab = labels[cols[near[order]]]
-                rank = np.zeros(len(order), np.int64)
-                by = np.argsort(lab, kind="stable")
-                new = np.concatenate([[True], lab[by][1:] != lab[by][:-1]])
-                start = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
-                rank[by] = np.arange(len(by)) - start
-                near = near[order[rank < nearest]]
-            us += [int(ids[r])] * len(near)
-            vs += ids[cols[near]].tolist()
-        if nearest is None and us:
-            prefix = dict(zip(ids.tolist(), table.column("prefix").to_pylist(), strict=True))
-            own = [k for k in range(len(us)) if _first_shared(prefix[us[k]], prefix[vs[k]]) == token]
-            us, vs = [us[k] for k in own], [vs[k] for k in own]
+            mine = full(r)
+            for k in near[np.argsort(-matches, kind="stable")][: int((matches >= least).sum())]:
+                c = cols[k]
+                a, b = union.find(int(labels[r])), union.find(int(labels[c]))
+                if a == b:
+                    continue
+                yours = full(c)
+                shared = len(np.intersect1d(mine, yours, assume_unique=True))
+                if 100 * shared >= percent * (len(mine) + len(yours) - shared):
+                    union.up[max(a, b)] = min(a, b)
+                    us.append(int(ids[r]))
+                    vs.append(int(ids[c]))
         if us:
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (token, i, j); a block is at most 2 * BLOCK or so rows."""
+        """Rows come sorted by (family, i, j); a block is about 2 * BLOCK rows."""
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("token", "i", "j")])
+            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("family", "i", "j")])
             cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 key = tuple(keys[:, a])
                 if last is not None and key != last:
-                    yield from work(pa.Table.from_batches(held).combine_chunks())
+                    yield from work(pa.Table.from_batches(held))
                     held = []
                 last = key
                 held.append(batch.slice(a, b - a))
         if held:
-            yield from work(pa.Table.from_batches(held).combine_chunks())
+            yield from work(pa.Table.from_batches(held))
 
     return run
 
 
-def _across(postings: DataFrame, classes: DataFrame, labels: DataFrame, percent: int, least: int, nearest: int | None) -> DataFrame:
-    """Matching pairs of different components that share a list."""
-    own = postings.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    sizes = own.groupBy("token", "label").agg(F.count("*").alias("k"))
-    lists = sizes.groupBy("token").agg(F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    lists = lists.select("token", F.col("main.label").alias("main"), F.ceil((F.col("size") - F.col("main.k")) / BLOCK).alias("outer"), F.ceil(F.col("main.k") / BLOCK).alias("inner"))
-    own = own.join(lists, "token")
+def _across(postings: DataFrame, classes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, least: int) -> DataFrame:
+    """The links that stars did not find: between components that share a list."""
+    own = postings.join(labels, "class", "left").select("token", F.coalesce("label", "class").alias("label")).distinct()
+    heads = own.groupBy("token").agg(F.min("label").alias("head"), F.max("label").alias("top")).where("head < top").select("token", "head")
+    mixed = cut(own.join(heads, "token").where("label <> head").select(F.col("label").alias("u"), F.col("head").alias("v")).distinct())
+    found = components(mixed).select(F.col("u").alias("label"), F.col("root").alias("family"))
+    found = found.unionAll(found.select(F.col("family").alias("label"), "family").distinct())
+    members = classes.select("class", "n", "sig").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")).join(found, "label")
+    members = cut(members.join(sets, "class"))
+    sizes = members.groupBy("family", "label").agg(F.count("*").alias("k"))
+    shape = sizes.groupBy("family").agg(F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("main"))
+    shape = shape.select("family", F.col("main.label").alias("main"), F.ceil((F.col("size") - F.col("main.k")) / BLOCK).alias("outer"), F.ceil(F.col("main.k") / BLOCK).alias("inner"))
+    own = members.join(shape, "family")
     block = lambda count: F.pmod(F.xxhash64("class", F.lit(7)), count).cast("int")
     upto = lambda count: F.sequence(F.lit(0), count.cast("int") - 1)
     outside = own.where("label <> main").withColumn("b", block(F.col("outer")))
     inside = own.where("label = main").withColumn("b", block(F.col("inner")))
+    keep = ["family", "class", "label", "n", "sig", "shingles"]
     # side 0: rows, 1: columns, 2: both (a block of the outside with itself)
     parts = [
-        outside.select("token", "class", "label", F.col("b").alias("i"), F.explode(upto(F.col("inner"))).alias("j"), F.lit(0).alias("side")),
-        inside.select("token", "class", "label", F.explode(upto(F.col("outer"))).alias("i"), F.col("b").alias("j"), F.lit(1).alias("side")),
-        outside.select("token", "class", "label", "b", "outer", F.explode(upto(F.col("outer"))).alias("o")).select(
-            "token", "class", "label", F.least("b", "o").alias("i"), (-1 - F.greatest("b", "o")).alias("j"),
+        outside.select(*keep, F.col("b").alias("i"), F.explode(upto(F.col("inner"))).alias("j"), F.lit(0).alias("side")),
+        inside.select(*keep, F.explode(upto(F.col("outer"))).alias("i"), F.col("b").alias("j"), F.lit(1).alias("side")),
+        outside.select(*keep, "b", F.explode(upto(F.col("outer"))).alias("o")).select(
+            *keep, F.least("b", "o").alias("i"), (-1 - F.greatest("b", "o")).alias("j"),
             F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1).alias("side"),
         ),
-    ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(classes.select("class", "n", "sig", "prefix"), "class")
-    rows = rows.repartition(F.col("token"), F.col("i"), F.col("j")).sortWithinPartitions("token", "i", "j")
-    return rows.select("token", "i", "j", "side", "class", "label", "n", "sig", "prefix").mapInArrow(_block_pairs(percent, least, nearest), "u long, v long").distinct()
+    ]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition(F.col("family"), F.col("i"), F.col("j")).sortWithinPartitions("family", "i", "j")
+    return rows.select("family", "i", "j", "side", "class", "label", "n", "sig", "shingles").mapInArrow(_block_links(percent, least), "u long, v long")
 
 
 def link(docs: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -288,15 +302,14 @@ def link(docs: DataFrame, percent: int = 80, text: str = "text", key: str = "doc
     prefix = F.slice("own", 1, F.size("own") - F.lit(of_posted - 1))
     prefixes = cut(posted.select("class", F.transform(prefix, lambda x: x["token"]).alias("tokens")))
     postings = cut(prefixes.select("class", F.explode("tokens").alias("token")).join(prefixes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "token"))
-    classes = cut(alone.dropDuplicates(["class"]).join(prefixes, "class").select("class", "doc_id", "n", "sig", F.col("tokens").alias("prefix")))
+    classes = cut(alone.dropDuplicates(["class"]).join(prefixes.select("class"), "class").select("class", "doc_id", "n", "sig"))
     wanted = classes.join(postings.select("class").distinct(), "class", "left_semi").select("doc_id")
     sets = cut(base.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "class long, shingles binary").dropDuplicates(["class"]))
 
     links = cut(_confirmed(_stars(postings, classes, percent, of_all), sets, percent))
     labels = cut(components(links).select(F.col("u").alias("class"), F.col("root").alias("label")))
-    for nearest in (NEAREST, None):
-        links = cut(links.unionAll(_confirmed(_across(postings, classes, labels, percent, of_all, nearest), sets, percent)))
-        labels = cut(components(links).select(F.col("u").alias("class"), F.col("root").alias("label")))
+    links = links.unionAll(cut(_across(postings, classes, sets, labels, percent, of_all)))
+    labels = cut(components(links).select(F.col("u").alias("class"), F.col("root").alias("label")))
 
     named = classes.select("class", F.col("doc_id").alias("head")).join(labels, "class").select("class", "label", "head")
     roots = classes.select(F.col("class").alias("label"), F.col("doc_id").alias("head"))
