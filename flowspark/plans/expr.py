@@ -53,6 +53,7 @@ class Expr:
         elif self.kind in _LEAVES:
             if not self.name:
                 raise ExprError("MissingName")
+            object.__setattr__(self, "declared", self.declared or self.value_kind)
         else:
             want = _OPERANDS.get(self.kind)
             if want is None:
@@ -87,7 +88,7 @@ class Expr:
         if self.kind == "literal":
             out["value"] = self.number
         elif self.kind in _LEAVES:
-            out["reference"] = {"id": self.name} | ({} if self.kind == "forcing" else {"value_kind": self.declared or self.value_kind})
+            out["reference"] = {"id": self.name} | ({} if self.kind == "forcing" else {"value_kind": self.declared})
         else:
             if self.kind == "comparison":
                 out["comparison"] = self.name
