@@ -165,7 +165,7 @@ def _places(keys: np.ndarray, level, bits: np.ndarray, k: int) -> np.ndarray:
 
 def shard(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The bits of a shard, one byte for eight, that holds levels 1..q of each key."""
-    keys, level = np.repeat(keys, levels), np.concatenate([np.arange(1, q + 1) for q in levels]) if len(levels) < 1000 else _ramps(levels)
+    keys, level = np.repeat(keys, levels), _ramps(levels)
     size = U64(max(64, BITS_PER_ITEM * len(keys)))
     out = np.zeros(int(size), bool)
     for k in range(HASHES):
@@ -174,6 +174,7 @@ def shard(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def _ramps(levels: np.ndarray) -> np.ndarray:
+    """1..q for each q."""
     start = np.repeat(np.cumsum(levels) - levels, levels)
     return np.arange(int(levels.sum())) - start + 1
 

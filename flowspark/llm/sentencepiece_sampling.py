@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, mix, pieces, range_hash, without
+from .common import _R, U64, Texts, mix, pieces, range_hash, without
 
 SPACE = 0x2581
 _FOREIGN = 0x110000  # a U+2581 of the text itself: no piece has it
@@ -163,8 +163,6 @@ class Lattice:
 
 def _sliding(values: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
     """range_hash of values[b : b + length] for overlapping ranges."""
-    from .common import _R
-
     with np.errstate(over="ignore"):
         out = np.zeros(len(begin), U64)
         power = 1
@@ -254,8 +252,6 @@ def sample(vocabulary: Vocabulary, texts: list[str], keys: np.ndarray, seed: int
 
 
 def key_hashes(column: pa.Array) -> np.ndarray:
-    from .common import Texts
-
     return np.where(np.asarray(column.is_null()), U64(3), Texts.of(column.cast(pa.string())).hashes())
 
 
