@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import numeric as N
 from .functions import quantum as Q
 from .operators import execute, ledger, partition, projection, series, sweep, validate
-from .plans.expr import Expr, add, clamp, compare, divide, forcing, input_, lit, maximum, minimum, multiply, param, power, select, subtract, table_lookup
+from .plans.expr import Expr, add, clamp, compare, divide, forcing, lit, maximum, minimum, multiply, param, power, select, subtract, table_lookup
 from .plans.model import Model
 from .sources import log
 from .sources.documents import forcing_violations
@@ -361,9 +361,8 @@ def ordered_accumulate(spark, sf_dir):
 
 
 def _sqlfloor(v: str, q: str) -> str:
-    r, f = f"floor({v} / {q} + 0.5::DOUBLE)", f"floor({v} / {q})"
-    whole = _sqlwhole(v, q)
-    return f"coalesce({whole}, CASE WHEN {f} * {q} > {v} THEN {f} - 1 ELSE {f} END)::BIGINT" if r else ""
+    f = f"floor({v} / {q})"
+    return f"coalesce({_sqlwhole(v, q)}, CASE WHEN {f} * {q} > {v} THEN {f} - 1 ELSE {f} END)::BIGINT"
 
 
 def _sqlwhole(v: str, q: str) -> str:
@@ -387,9 +386,6 @@ def _rows(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(*_KEYS, F.col("l_quantity").alias("amount"), F.col("l_discount").alias("share"))
 
 
-_PARTS = "SELECT * FROM (SELECT {keys}, unnest([{branches}]) AS b FROM lineitem), LATERAL (SELECT b.branch AS branch, b.amount AS amount, {floor} AS count) WHERE count > 0"
-
-
 def _partsql(*branches: tuple[str, str]) -> str:
     items = ", ".join(f"{{'branch': '{n}', 'amount': {e}}}" for n, e in branches)
     return f"SELECT {_KEYSQL}, branch, amount, count FROM (SELECT *, {_sqlfloor('amount', '1::DOUBLE')} AS count FROM (SELECT {_KEYSQL}, b.branch AS branch, b.amount AS amount FROM (SELECT {_KEYSQL}, unnest([{items}]) AS b FROM lineitem))) WHERE count > 0"
