@@ -35,7 +35,7 @@ EMPTY = U64(0x5851F42D4C957F2D)
 @dataclass(frozen=True)
 class Settings:
     max_train_docs: int = 2000
-    quantile: float = 0.9
+    quantile: float = 0.99
     broadcast_rows: int = 8_000_000
 
 
