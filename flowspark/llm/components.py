@@ -1,4 +1,9 @@
-"""Connected components of an edge table by alternating large-star and small-star steps, all in joins and partial aggregates."""
+"""Connected components of an edge table by alternating large-star and small-star steps, all in joins and partial aggregates.
+
+Every step is over edges alone, often few against the session's shuffle partitions. So stages read the shuffled
+partitions in as few tasks as keep about ROWS edges in each; the number follows the count of edges, and a large table
+keeps all its partitions.
+"""
 
 from __future__ import annotations
 
@@ -7,34 +12,41 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+ROWS = 100_000
+
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, tasks: int) -> DataFrame:
+    """Every neighbour above a node is led to the least of the node and its neighbours."""
     around = _both(edges)
     least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks)
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, tasks: int) -> DataFrame:
+    """A node and its neighbours below it are led to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    return moved.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(u, v), both long -> (u, root): for each end that is not the least of its component, that least.
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node leads to one centre and no centre leads on."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("leads"), F.lit(0).alias("led")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("id").agg(F.sum("leads").alias("leads"), F.max("led").alias("led"))
+    return nodes.agg(F.count_if((F.col("leads") > 1) | ((F.col("leads") > 0) & (F.col("led") > 0)))).first()[0] == 0
 
-    Converged tables are stars: every edge leads from a member to the least. A table is a star forest when no
-    centre is also a member, which one semi-join tells.
-    """
-    edges = cut(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct())
+
+def components(edges: DataFrame) -> DataFrame:
+    """(u, v), both long -> (u, root): for each end that is not the least of its component, that least."""
+    edges = cut(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v"))
+    tasks = min(edges.rdd.getNumPartitions() or 1, 1 + edges.count() // ROWS)
+    edges = edges.coalesce(tasks)
     while True:
-        edges = cut(_small(_large(edges)))
-        chained = edges.join(edges.select(F.col("u").alias("c")).distinct(), F.col("v") == F.col("c"), "left_semi")
-        doubled = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
-        if chained.isEmpty() and doubled.isEmpty():
+        edges = cut(_small(_large(edges, tasks), tasks))
+        if _is_stars(edges):
             return edges.select("u", F.col("v").alias("root"))

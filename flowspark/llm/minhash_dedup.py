@@ -41,6 +41,8 @@ SHINGLE = 5
 POSTED, COORDINATES = 64, 256
 MISS = 1e-6
 BLOCK = 256
+#: Classes with copies are broadcast up to so many (16 bytes each), and joined by a shuffle beyond.
+BROADCAST_ROWS = 1_000_000
 OWN = ("n_shingles", "component_id", "kept", "__class")
 
 _rng = np.random.default_rng(20240229)
@@ -292,7 +294,9 @@ def link(docs: DataFrame, percent: int = 80, text: str = "text", key: str = "doc
     signs = cut(base.mapInArrow(_sign, "doc_id long, n long, class long, sig binary"))
     linked = signs.where("n > 0 AND doc_id IS NOT NULL")
     heads = linked.groupBy("class").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
-    copied = heads.where("copies > 1").select("class", "head")
+    copied = cut(heads.where("copies > 1").select("class", "head"))
+    if copied.count() <= BROADCAST_ROWS:
+        copied = F.broadcast(copied)
     alone = linked.join(copied, "class", "left").where("head IS NULL OR head = doc_id").select("class", "doc_id", "n", "sig")
 
     of_posted, of_all = least_matches(POSTED, percent / 100), least_matches(COORDINATES, percent / 100)
