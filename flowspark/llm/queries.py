@@ -119,10 +119,9 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate)::BIGINT + (u < ra
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
-    coded = sentencepiece_sampling.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, alpha=1.0, seed=8)
-    out = sentencepiece_sampling.decode(coded, path)
+    out = sentencepiece_sampling.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, alpha=1.0, seed=8, verify=True)
     ids = F.sha2(F.array_join("pieces", ","), 256)
-    return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), "n_pieces", ids.alias("pieces_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
+    return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), "n_pieces", ids.alias("pieces_sha256"), "lossless")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

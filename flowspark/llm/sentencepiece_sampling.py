@@ -151,14 +151,17 @@ class Lattice:
             total = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, count)), group))
             log[states] = total
             self.chance[edges] = np.exp(x - np.repeat(total, count))
-        cum = np.cumsum(self.chance)
-        before = np.concatenate([[0.0], cum])[self.first[self.to]]
-        self.upto = self.to + np.minimum(cum - before, 1.0)
 
     def arrive(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """The edge into each state that u chooses."""
-        e = np.searchsorted(self.upto, state + u, side="right")
-        return np.clip(e, self.first[state], self.first[state + 1] - 1)
+        """The edge into each state that u chooses: states have few edges, so they are walked side by side."""
+        edge, last = self.first[state], self.first[state + 1] - 1
+        left = u - self.chance[edge]
+        go = np.flatnonzero((left >= 0) & (edge < last))
+        while len(go):
+            edge[go] += 1
+            left[go] -= self.chance[edge[go]]
+            go = go[(left[go] >= 0) & (edge[go] < last[go])]
+        return edge
 
 
 def _sliding(values: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
@@ -255,9 +258,12 @@ def key_hashes(column: pa.Array) -> np.ndarray:
     return np.where(np.asarray(column.is_null()), U64(3), Texts.of(column.cast(pa.string())).hashes())
 
 
-def encode(docs: DataFrame, path: str, alpha: float = 1.0, seed: int = 0, text: str = "text", key: str = "doc_id", ranked: bool = True) -> DataFrame:
-    """docs with pieces (sampled ids) and n_pieces. The vocabulary is read by the driver and broadcast; its file bounds it."""
-    docs = without(docs, ("pieces", "n_pieces"))
+def encode(docs: DataFrame, path: str, alpha: float = 1.0, seed: int = 0, text: str = "text", key: str = "doc_id", ranked: bool = True, verify: bool = False) -> DataFrame:
+    """docs with pieces (sampled ids) and n_pieces, and with verify also lossless: whether they decode to the text.
+
+    The vocabulary is read by the driver and broadcast; its file bounds it.
+    """
+    docs = without(docs, ("pieces", "n_pieces", "lossless") if verify else ("pieces", "n_pieces"))
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path, alpha, ranked))
     names = docs.columns
 
@@ -269,10 +275,14 @@ def encode(docs: DataFrame, path: str, alpha: float = 1.0, seed: int = 0, text:
                 sizes = np.array([len(f) for f in found], np.int64)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.append(null, False))
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), ids, pa.array(sizes, mask=null)], names=[*names, "pieces", "n_pieces"])
+                cols, own = [*(part.column(c) for c in names), ids, pa.array(sizes, mask=null)], [*names, "pieces", "n_pieces"]
+                if verify:
+                    same = [shared.value.decode(f.tolist()) == (t or "") for f, t in zip(found, part.column(text).to_pylist(), strict=True)]
+                    cols, own = [*cols, pa.array(same)], [*own, "lossless"]
+                yield pa.RecordBatch.from_arrays(cols, names=own)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, pieces array<int>, n_pieces long")
+    return docs.mapInArrow(run, f"{fields}, pieces array<int>, n_pieces long{', lossless boolean' * verify}")
 
 
 def decode(encoded: DataFrame, path: str, column: str = "decoded") -> DataFrame:
