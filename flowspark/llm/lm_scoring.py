@@ -1,17 +1,21 @@
 """LM scoring (operator 4): a log-frequency Bloom filter of quantised n-gram counts, broadcast, and probed for every token.
 
 Counts are gathered in two passes over the training texts, summed within tasks first: exact unigram counts, then
-bigram counts packed by hash bucket. A bigram enters the filter if it has at least N / ENTRIES of the N training
-tokens (so at most ENTRIES bigrams do, at any corpus size, which bounds the broadcast); it is stored as its levels
+bigram counts packed by hash bucket. Every bigram enters the filter, at any corpus size; it is stored as its levels
 1..q of the logarithm of its count, and a probe asks for level after level until one is missing. The filter also
-holds, for each context with stored bigrams, its discounted mass, and its count where that is not broadcast exactly.
+holds, for each context, its discounted mass, and its count where that is not broadcast exactly.
+
+A filter of up to SLICE bytes is broadcast whole. A larger one is broadcast in slices of about that size, each gathered
+by the driver on its own; a worker then tokenises CHUNK tokens, sorts their keys by slice and opens one slice after the
+other, so its memory does not grow with the corpus (the slices lie on the executor's disk). Both ways give the same.
 
 p(w | v) = SHARE * (c(v w) - DISCOUNT) / c(v) + (1 - SHARE * mass(v) / c(v)) * p(w), where p(w) is the add-0.1 unigram
 estimate of the base score. Stored counts are rounded down and masses up, so the sum over w stays at most 1 but for
 the filter's false positives (about 1 %).
 
 Unigram counts are exact for every word. Those with at least N / HEAVY of the tokens (at most HEAVY words) are
-broadcast; the other words of a document (a few in a hundred tokens) are joined to the counts by a shuffle.
+broadcast; the other words of a document (a few in a hundred tokens) are joined to the counts by a shuffle, with the
+bigram's share of their probability, and so scored after it.
 
 Defined results: null text is empty and has the end token alone; a null doc_id counts as held out; rows that repeat
 count each; without training rows N is 0 and scores come from the add-0.1 estimate with V = 0; an empty table gives
@@ -21,19 +25,24 @@ an empty result; other columns are not read.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Texts, chain, cut, mix, pieces, signed
 
-ENTRIES = 1 << 26
+SLICE = 1 << 25
+CHUNK = 1 << 21
 HEAVY = 1 << 22
 BASE = 1.5
 SHARE, DISCOUNT, ADD = 0.5, 0.5, 0.1
+#: The least count of a bigram, and the least mass of a context.
+LEAST, LEAST_MASS = 1.0, 1.0 - DISCOUNT
 BITS_PER_ITEM, HASHES = 10, 4
 FLUSH = 1 << 22
 END = np.uint64(0x45D9F3B3335B369)
@@ -215,29 +224,45 @@ class LogBloom:
         return out
 
 
-def _filter_rows(cutoff: float, buckets: int):
+def _filter_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums a bucket's blobs; gives its shard, and each context's discounted mass in it, dealt out by context."""
+    blobs: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for b, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            blobs.setdefault(b, []).append(data)
+    for b in list(blobs):
+        parts = [unpack(x) for x in blobs.pop(b)]
+        keys, counts = add_up(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+        levels = level_of(counts, LEAST)
+        data = shard(keys, levels)
+        contexts, order = np.unique(keys & _LOW, return_inverse=True)
+        mass = np.bincount(order, weights=counts - DISCOUNT)
+        size = max(64, BITS_PER_ITEM * int(levels.sum()))
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([size], pa.int64()), pa.array([data.tobytes()], pa.binary()), pa.array([pack_masses(contexts, mass)], pa.binary())], names=["bucket", "bits", "data", "masses"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for b, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                blobs.setdefault(b, []).append(data)
-        for b in list(blobs):
-            parts = [unpack(x) for x in blobs.pop(b)]
-            keys, counts = add_up(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            keep = counts >= cutoff
-            keys, counts = keys[keep], counts[keep]
-            if not len(keys):
-                continue
-            levels = level_of(counts, cutoff)
-            data = shard(keys, levels)
-            contexts, order = np.unique(keys & _LOW, return_inverse=True)
-            mass = np.bincount(order, weights=counts - DISCOUNT)
-            size = max(64, BITS_PER_ITEM * int(levels.sum()))
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([size], pa.int64()), pa.array([data.tobytes()], pa.binary()), pa.array([signed(contexts)], pa.list_(pa.int64())), pa.array([mass], pa.list_(pa.float64()))], names=["bucket", "bits", "data", "contexts", "mass"])
 
-    return run
+def _planes(x: np.ndarray) -> bytes:
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def pack_masses(contexts: np.ndarray, mass: np.ndarray) -> bytes:
+    """Gaps of sorted contexts and counts of half units, in planes of bytes (most of them zero), compressed."""
+    return zlib.compress(_planes(np.diff(contexts, prepend=U64(0)).astype(np.uint32)) + _planes(np.rint(2 * mass).astype(U64)), 1)
+
+
+def unpack_masses(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(blob), np.uint8)
+    n = len(planes) // 12
+    gaps, halves = (np.ascontiguousarray(x.reshape(-1, n).T) for x in (planes[: 4 * n], planes[4 * n :]))
+    return np.cumsum(gaps.view(np.uint32)[:, 0].astype(U64), dtype=U64), halves.view(U64)[:, 0] / 2
+
+
+def _mass_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column("masses").to_pylist():
+            contexts, mass = unpack_masses(blob)
+            for at in range(0, len(contexts), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(signed(contexts[at : at + (1 << 16)])), pa.array(mass[at : at + (1 << 16)])], names=["context", "mass"])
 
 
 MASS_TAG, COUNT_TAG = U64(1 << 32), U64(2 << 32)
@@ -247,18 +272,18 @@ def context_items(contexts: np.ndarray, tag: np.uint64) -> np.ndarray:
     return mix(contexts | tag)
 
 
-def _context_rows(least: float, buckets: int):
+def _context_rows(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             c = np.asarray(batch.column("context")).view(U64)
             keys = [context_items(c, MASS_TAG)]
-            levels = [level_of(np.asarray(batch.column("mass")), least)]
+            levels = [level_of(np.asarray(batch.column("mass")), LEAST_MASS)]
             tail = np.asarray(batch.column("count").is_valid())
             if tail.any():
                 keys.append(context_items(c[tail], COUNT_TAG))
-                levels.append(level_of(np.asarray(batch.column("count").fill_null(0)).astype(np.float64)[tail], least))
+                levels.append(level_of(np.asarray(batch.column("count").fill_null(0)).astype(np.float64)[tail], LEAST_MASS))
             k, q = np.concatenate(keys), np.concatenate(levels)
             order = np.argsort(k)
             yield from _dealt(k[order], q[order], buckets)
@@ -284,19 +309,54 @@ def _with_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(signed(context_key(h))), batch.column("c")], names=["context", "count"])
 
 
-def _collected(rows: DataFrame, buckets: int) -> LogBloom:
-    found = rows.toArrow()
-    return LogBloom({b: (bits, data) for b, bits, data in zip(found.column("bucket").to_pylist(), found.column("bits").to_pylist(), found.column("data").to_pylist(), strict=True)}, buckets)
+class Slices:
+    """The shards of a filter (rows of bucket, bits, data) as broadcasts of about SLICE bytes, and the slice of each bucket."""
+
+    def __init__(self, rows: DataFrame, buckets: int):
+        context = rows.sparkSession.sparkContext
+        total = rows.agg(F.sum(F.length("data")).alias("n")).first().n or 0
+        found = rows.toArrow().to_pylist() if total <= SLICE else (r.asDict() for r in rows.toLocalIterator())
+        self.buckets, self.of, self.parts = buckets, np.full(buckets, -1, np.int16), []
+        held: dict[int, tuple[int, bytes]] = {}
+        size = 0
+        for r in found:
+            held[r["bucket"]] = (r["bits"], bytes(r["data"]))
+            size += len(r["data"])
+            self.of[r["bucket"]] = len(self.parts)
+            if size >= SLICE:
+                self.parts.append(context.broadcast(LogBloom(held, buckets)))
+                held, size = {}, 0
+        if held:
+            self.parts.append(context.broadcast(LogBloom(held, buckets)))
+
+    def levels(self, asked: list[np.ndarray]) -> list[np.ndarray]:
+        """For each array of keys their levels, with one slice in memory at a time."""
+        out = [np.zeros(len(keys), np.int8) for keys in asked]
+        own = [self.of[bucket_of(keys, self.buckets).astype(np.int64)] for keys in asked]
+        order = [np.argsort(x, kind="stable").astype(np.int32) for x in own]
+        cuts = [np.searchsorted(x[o], np.arange(len(self.parts) + 1)) for x, o in zip(own, order, strict=True)]
+        for k, part in enumerate(self.parts):
+            bloom = _opened(part, len(self.parts) == 1)
+            for keys, levels, o, c in zip(asked, out, order, cuts, strict=True):
+                at = o[c[k] : c[k + 1]]
+                levels[at] = bloom.levels(keys[at])
+            del bloom
+        return out
+
+
+def _opened(part: Broadcast, keep: bool) -> LogBloom:
+    """A broadcast's value, which the worker holds on to only if asked (or if Spark has read it already, under encryption)."""
+    path = getattr(part, "_path", None)
+    return part.value if keep or path is None else part.load_from_path(path)
 
 
 class Model:
     """What the workers get."""
 
-    def __init__(self, total: int, distinct: int, texts: int, cutoff: float, heavy: np.ndarray, counts: np.ndarray, bigrams: LogBloom, contexts: LogBloom):
-        self.total, self.distinct, self.cutoff = total, distinct, cutoff
+    def __init__(self, total: int, distinct: int, texts: int, heavy: np.ndarray, counts: np.ndarray):
+        self.total, self.distinct, self.texts = total, distinct, texts
         self.floor = math.log10(total + ADD * (distinct + 1))
-        self.heavy, self.counts, self.bigrams, self.contexts = heavy, counts, bigrams, contexts
-        self.texts = texts
+        self.heavy, self.counts = heavy, counts
 
     def count(self, h: np.ndarray) -> np.ndarray:
         """Exact counts of heavy words, -1 for others."""
@@ -305,65 +365,65 @@ class Model:
         at = np.minimum(np.searchsorted(self.heavy, h), len(self.heavy) - 1)
         return np.where(self.heavy[at] == h, self.counts[at], -1)
 
-    def context(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def context(self, v: np.ndarray, mass_level: np.ndarray, count_level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of contexts: counts (at least the true ones), and the share of it that bigrams take."""
-        least = self.cutoff - DISCOUNT
-        key = context_key(v)
         n = self.count(v).astype(np.float64)
         n[v == BEGIN] = self.texts
-        mass_level = self.contexts.levels(context_items(key, MASS_TAG))
-        tail = np.flatnonzero((n < 0) & (mass_level > 0))
-        level = self.contexts.levels(context_items(key[tail], COUNT_TAG))
-        n[tail] = np.where(level > 0, value_of(level + 1, least), -1)
+        tail = n < 0
+        n[tail] = np.where(count_level[tail] > 0, value_of(count_level[tail] + 1, LEAST_MASS), -1)
         known = (n > 0) & (mass_level > 0)
-        mass = np.where(known, value_of(mass_level + 1, least), 0)
+        mass = np.where(known, value_of(mass_level + 1, LEAST_MASS), 0)
         return np.where(known, n, 0), np.where(known, SHARE * np.minimum(mass, n) / np.maximum(n, 1), 0)
 
 
-def _score(shared):
+def _score(shared, bigrams: Slices, contexts: Slices):
+    least = CHUNK if len(bigrams.parts) + len(contexts.parts) > 2 else 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
+        held, size = [], 0
         for batch in batches:
             for part in pieces(batch):
                 own, before, first = tokens(Texts.of(part.column("text")))
-                start = first[:-1]
-                sums = lambda x: np.add.reduceat(x, start) if len(start) else np.zeros(0)
-                c = model.count(own)
-                heavy = c >= 0
-                contexts, which = np.unique(before, return_inverse=True)
-                n, taken = (x[which] for x in model.context(contexts))
-                level = np.zeros(len(own), np.int64)
-                ask = np.flatnonzero(n > 0)
-                level[ask] = model.bigrams.levels(bigram_key(before[ask], own[ask]))
-                seen = level > 0
-                kept = np.where(seen, value_of(level, model.cutoff), 0)
-                pair = np.where(seen, SHARE * (kept - DISCOUNT) / np.maximum(n, 1), 0)
-                single = (np.where(heavy, c, kept) + ADD) / 10**model.floor
-                back = ~heavy & ~seen
-                p = np.where(back, 1 - taken, pair + (1 - taken) * single)
-                base = np.where(heavy, np.log10(np.where(heavy, c, 1) + ADD), 0)
-                rows = np.flatnonzero(~heavy)
-                owner = np.searchsorted(first, rows, side="right") - 1
-                order = np.lexsort((own[rows], owner))
-                rows, owner = rows[order], owner[order]
-                new = np.concatenate([[True], (own[rows][1:] != own[rows][:-1]) | (owner[1:] != owner[:-1])]) if len(rows) else np.zeros(0, bool)
-                at = np.flatnonzero(new)
-                every = np.diff(np.append(at, len(rows)))
-                unseen = np.add.reduceat(back[rows].astype(np.int64), at) if len(at) else every
-                offsets = pa.array(np.searchsorted(owner[at], np.arange(len(start) + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (signed(own[rows][at]), every.astype(np.int32), unseen.astype(np.int32))]
-                cols = [part.column("doc_id"), pa.array(np.diff(first)), pa.array(sums((c > 0).astype(np.int64)).astype(np.int64)), pa.array(sums(base)), pa.array(sums(np.log10(p))), *lists]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "known", "base", "direct", "h", "every", "unseen"])
+                held.append((part.column("doc_id"), own, *np.unique(before, return_inverse=True), first))
+                size += len(own)
+                if size >= least:
+                    yield from _scored(model, bigrams, contexts, held)
+                    held, size = [], 0
+        if held:
+            yield from _scored(model, bigrams, contexts, held)
 
     return run
 
 
+def _scored(model: Model, bigrams: Slices, contexts: Slices, held: list) -> Iterator[pa.RecordBatch]:
+    keys = [context_key(v) for _, _, v, _, _ in held]
+    masses = contexts.levels([context_items(k, MASS_TAG) for k in keys])
+    counts = contexts.levels([context_items(k, COUNT_TAG) for k in keys])
+    pairs = bigrams.levels([bigram_key(v[which], own) for _, own, v, which, _ in held])
+    for (ids, own, v, which, first), mass, count, level in zip(held, masses, counts, pairs, strict=True):
+        start = first[:-1]
+        sums = lambda x: np.add.reduceat(x, start) if len(start) else np.zeros(0)
+        c = model.count(own)
+        heavy = c >= 0
+        n, taken = (x[which] for x in model.context(v, mass, count))
+        seen = (level > 0) & (n > 0)
+        pair = np.where(seen, SHARE * (value_of(level, LEAST) - DISCOUNT) / np.maximum(n, 1), 0)
+        p = np.where(heavy, pair + (1 - taken) * (np.where(heavy, c, 0) + ADD) / 10**model.floor, 1)
+        base = np.where(heavy, np.log10(np.where(heavy, c, 1) + ADD), 0)
+        rows = np.flatnonzero(~heavy)
+        offsets = pa.array(np.searchsorted(rows, first).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (signed(own[rows]), pair[rows], 1 - taken[rows])]
+        cols = [ids, pa.array(np.diff(first)), pa.array(sums((c > 0).astype(np.int64)).astype(np.int64)), pa.array(sums(base)), pa.array(sums(np.log10(p))), *lists]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "known", "base", "direct", "h", "pair", "rest"])
+
+
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")), F.lit(0)) % 10 == 0
 
 
-def fit(train: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of the texts (column text), and the table (h, c) of all unigram counts."""
+def fit(train: DataFrame) -> tuple[tuple[Model, Slices, Slices], DataFrame]:
+    """The model of the texts (column text) with its filters of bigrams and contexts, and the table (h, c) of all unigram counts."""
     train = train.select("text")
     unigrams = cut(train.mapInArrow(_unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     whole = unigrams.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
@@ -372,33 +432,32 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     heavy = unigrams.where(F.col("c") >= total / HEAVY).toArrow()
     h, c = np.asarray(heavy.column("h")).astype(np.int64).view(U64), np.asarray(heavy.column("c")).astype(np.int64)
     order = np.argsort(h)
-    cutoff = float(max(1, math.ceil(total / ENTRIES)))
     spark = train.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), train.rdd.getNumPartitions())
-    found = cut(train.mapInArrow(_bigrams(buckets), "bucket int, data binary").repartition(buckets, "bucket").mapInArrow(_filter_rows(cutoff, buckets), "bucket int, bits long, data binary, contexts array<long>, mass array<double>"))
-    bigrams = _collected(found.select("bucket", "bits", "data"), buckets)
-    masses = found.select(F.explode(F.arrays_zip("contexts", "mass")).alias("x")).groupBy(F.col("x.contexts").alias("context")).agg(F.sum("x.mass").alias("mass"))
+    found = cut(train.mapInArrow(_bigrams(buckets), "bucket int, data binary").repartition(buckets, "bucket").mapInArrow(_filter_rows, "bucket int, bits long, data binary, masses binary"))
+    bigrams = Slices(found.select("bucket", "bits", "data"), buckets)
+    masses = found.select("masses").mapInArrow(_mass_rows, "context long, mass double").groupBy("context").agg(F.sum("mass").alias("mass"))
     tail = unigrams.where(F.col("c") < total / HEAVY).mapInArrow(_with_context, "context long, count long").groupBy("context").agg(F.sum("count").alias("count"))
     items = masses.join(tail, "context", "left").select("context", "mass", "count")
-    rows = items.mapInArrow(_context_rows(cutoff - DISCOUNT, buckets), "bucket int, data binary").repartition(buckets, "bucket").mapInArrow(_shards, "bucket int, bits long, data binary")
-    return Model(total, distinct, int(texts.c) if texts else 0, cutoff, h[order], c[order], bigrams, _collected(rows, buckets)), unigrams
+    rows = cut(items.mapInArrow(_context_rows(buckets), "bucket int, data binary").repartition(buckets, "bucket").mapInArrow(_shards, "bucket int, bits long, data binary"))
+    return (Model(total, distinct, int(texts.c) if texts else 0, h[order], c[order]), bigrams, Slices(rows, buckets)), unigrams
 
 
-def score(docs: DataFrame, model: Model, unigrams: DataFrame) -> DataFrame:
+def score(docs: DataFrame, fitted: tuple[Model, Slices, Slices], unigrams: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text)."""
+    model, bigrams, contexts = fitted
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    partial = docs.select("doc_id", "text").mapInArrow(_score(shared), "doc_id long, n_tokens long, known long, base double, direct double, h array<long>, every array<int>, unseen array<int>")
+    partial = docs.select("doc_id", "text").mapInArrow(_score(shared, bigrams, contexts), "doc_id long, n_tokens long, known long, base double, direct double, h array<long>, pair array<double>, rest array<double>")
     partial = cut(partial.withColumn("row", F.monotonically_increasing_id()))
-    tail = partial.select("row", F.explode(F.arrays_zip("h", "every", "unseen")).alias("x")).select("row", "x.h", "x.every", "x.unseen")
+    tail = partial.select("row", F.explode(F.arrays_zip("h", "pair", "rest")).alias("x")).select("row", "x.h", "x.pair", "x.rest")
     tail = tail.join(unigrams.where(F.col("c") < model.total / HEAVY), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    log = F.log10(F.col("c") + F.lit(ADD))
     tail = tail.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("every")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("every") * log).alias("more_base"),
-        F.sum(F.col("unseen") * (log - F.lit(model.floor))).alias("more"),
+        F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("more_known"),
+        F.sum(F.log10(F.col("c") + F.lit(ADD))).alias("more_base"),
+        F.sum(F.log10(F.col("pair") + F.col("rest") * (F.col("c") + F.lit(ADD)) / F.lit(10**model.floor))).alias("more"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return partial.drop("h", "every", "unseen").join(tail, "row", "left").select(
+    return partial.drop("h", "pair", "rest").join(tail, "row", "left").select(
         "doc_id",
         "n_tokens",
         (F.col("known") + zero("more_known")).alias("n_known"),

@@ -159,6 +159,34 @@ def test_lm_scores(docs, empty):
     assert lm_scoring.score(empty, model, unigrams).count() == 0
 
 
+def test_lm_keeps_every_bigram_at_any_size(spark, monkeypatch):
+    """With a bound below the number of tokens, and a filter of many slices, singletons still score as they do in a small model."""
+    r = random.Random(9)
+    rows = [(i, " ".join("w%d" % r.randrange(300) for _ in range(80)) + f" once{i} again{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    scores = lambda: {x.doc_id: x.score for x in lm_scoring.score(docs, *lm_scoring.fit(docs)).collect()}
+    want = scores()
+    monkeypatch.setattr(lm_scoring, "ENTRIES", 1000, raising=False)
+    monkeypatch.setattr(lm_scoring, "SLICE", 500, raising=False)
+    found = scores()
+    assert all(math.isclose(found[i], want[i], rel_tol=1e-9) for i in range(200))
+    fitted, _ = lm_scoring.fit(docs)
+    assert len(fitted[1].parts) > 3
+    contexts, mass = np.array([0, 3, 2**31, 2**32 - 1], np.uint64), np.array([0.5, 3e9, 1.0, 17.5])
+    assert all(map(np.array_equal, lm_scoring.unpack_masses(lm_scoring.pack_masses(contexts, mass)), (contexts, mass)))
+
+
+def test_lm_tail_words_keep_exact_counts_in_seen_pairs(spark, monkeypatch):
+    """A word beyond the broadcast list weighs the same in a seen bigram as a broadcast one."""
+    docs = spark.createDataFrame([(i, f"a{i % 7} rare b{i % 5}") for i in range(40)], "doc_id long, text string")
+    out = []
+    for heavy in (lm_scoring.HEAVY, 4):
+        monkeypatch.setattr(lm_scoring, "HEAVY", heavy)
+        out.append({x.doc_id: x.base_score - x.score for x in lm_scoring.score(docs, *lm_scoring.fit(docs)).collect()})
+    # contexts' counts are rounded up by less than BASE (three bigrams of a text have such contexts)
+    assert all(abs(out[0][i] - out[1][i]) < 3 * math.log10(lm_scoring.BASE) for i in range(40))
+
+
 def test_log_bloom_holds_what_was_put_in():
     keys = lm_scoring.mix(np.arange(5000).astype(np.uint64))
     levels = np.random.default_rng(0).integers(1, 9, 5000)
