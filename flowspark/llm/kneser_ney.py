@@ -4,13 +4,14 @@ Trigram counts of the trusted texts are summed by key over shards (partial sums
 counts of each context come from those by further grouping, and joins of the count tables give every n-gram's
 discounted share and every context's weight for the lower order. Discounts are estimated for each language and order.
 
-The training sample is bounded (``max_train_docs``, the rows whose keys hash lowest), so the model is too. Scoring
+The training sample is bounded: the ``max_train_docs`` documents whose keys hash lowest, and of each language at least its
+lowest max_train_docs / 8 (or all it has), so every language with trusted text has a model, whatever the others hold. Scoring
 joins documents' n-grams to it: by broadcast if the model has at most ``broadcast_rows`` rows, else by a shuffle of
 the n-grams; both give the same figures. A language's threshold is a quantile of the perplexities of its trusted
 documents outside the sample (or of all its documents, if it has none), from exact counts by steps of 0.001 in log10.
 
 Defined results: null text is empty and has its end token alone; a null language is a language of its own; a language
-without training text has null perplexity and its documents are kept; a document trusted twice trains once; repeated
+without training text has null perplexity and its documents are kept; a document trusted twice trains once in its language; repeated
 rows are scored each; an empty table gives an empty result; columns named like the operator's own (OWN) are replaced.
 """
 
@@ -189,14 +190,22 @@ def classify(docs: DataFrame, trusted: DataFrame, settings: Settings = Settings(
     docs = without(docs, OWN)
     good = trusted.select(F.col(key).alias("__key")).distinct()
     sample = docs.join(good, docs[key] == F.col("__key"), "left_semi").select(F.col(key).alias("__key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    chosen = sample.select("__key").distinct().orderBy(F.xxhash64("__key"), "__key").limit(settings.max_train_docs)
-    chosen = cut(chosen)
-    model = fit(sample.join(F.broadcast(chosen), "__key", "left_semi").dropDuplicates(["__key"]))
+    pairs = cut(sample.select("lang", "__key").distinct().withColumn("__h", F.xxhash64("__key")))
+    lowest = pairs.select("__h", "__key").distinct().orderBy("__h", "__key").limit(settings.max_train_docs).select("__key")
+    least = max(1, settings.max_train_docs // 8)
+    sizes = pairs.groupBy(F.col("lang").alias("__of")).agg(F.count("*").alias("__size"))
+    # of a language's keys only the lowest hashes, about twice as many as are taken, are ranked in its one task
+    near = (F.col("__h") / F.lit(2.0**64) + 0.5) * F.col("__size") <= 2 * least + 100
+    ranked = pairs.join(F.broadcast(sizes), F.col("lang").eqNullSafe(F.col("__of"))).where(near)
+    ranked = ranked.withColumn("__n", F.row_number().over(Window.partitionBy("lang").orderBy("__h", "__key"))).where(F.col("__n") <= least)
+    chosen = cut(pairs.join(F.broadcast(lowest), "__key", "left_semi").select("lang", "__key").unionAll(ranked.select("lang", "__key")).distinct())
+    picked = chosen.select(F.col("lang").alias("__of"), F.col("__key").alias("__id"))
+    model = fit(sample.join(F.broadcast(picked), (F.col("__key") == F.col("__id")) & F.col("lang").eqNullSafe(F.col("__of")), "left_semi").dropDuplicates(["lang", "__key"]))
     scored = perplexities(docs, model, settings, text, lang)
     scored = cut(scored if keep_text else scored.drop(text))
     step = F.floor(-F.col("log10_prob") / F.col("n_tokens") * 1000)
     marks = scored.select(F.col(key).alias("__key"), F.col(lang).alias("__lang"), step.alias("__step")).where("__step IS NOT NULL")
-    outside = good.join(chosen, "__key", "left_anti").withColumn("__trusted", F.lit(True))
+    outside = good.join(chosen.select("__key"), "__key", "left_anti").withColumn("__trusted", F.lit(True))
     marks = marks.join(outside, "__key", "left").groupBy("__lang", "__step").agg(F.count("*").alias("every"), F.count("__trusted").alias("own"))
     whole = Window.partitionBy("__lang")
     marks = marks.withColumn("n", F.when(F.sum("own").over(whole) > 0, F.col("own")).otherwise(F.col("every")))

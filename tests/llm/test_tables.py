@@ -280,6 +280,19 @@ def test_classifier(spark, docs, empty):
     assert all(r.kept and r.perplexity is None for r in kneser_ney.classify(docs, trusted.where("false")).collect())
 
 
+def test_classifier_models_every_trusted_language(spark):
+    """A language with a few trusted documents among many of another still has a model, and its junk goes."""
+    r = random.Random(6)
+    rows = [(i, " ".join("e%d" % r.randrange(50) for _ in range(40)), "en") for i in range(300)]
+    rows += [(1000 + i, " ".join("i%d" % r.randrange(20) for _ in range(40)), "is") for i in range(6)]
+    rows += [(2000, " ".join(f"zz{k}" for k in range(40)), "is"), (3000, "n1 n2 n3", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = docs.where("doc_id < 1006 OR doc_id = 3000").select("doc_id")
+    found = {x.doc_id: x for x in kneser_ney.classify(docs, trusted, kneser_ney.Settings(max_train_docs=32)).collect()}
+    assert len(found) == len(rows) and all(x.perplexity is not None for x in found.values())
+    assert not found[2000].kept
+
+
 def test_model_sums_to_one(spark):
     text = spark.createDataFrame([(7, "a b a c a b"), (7, "b a a")], "x long, text string").withColumn("lang", F.lit("en"))
     model = kneser_ney.fit(text)
