@@ -10,7 +10,9 @@ All is done row by row, in map tasks: nothing is shuffled, and a row's memory is
 
 Defined results: a null payload is an empty one; a null target URI or date leaves its header out; repeated responses
 give repeated records with equal identifiers; broken markup is read up to its end; an empty table gives an empty
-result; of the input only the named columns are read.
+result; of the input only the named columns are read. A source record's own headers, where the column source_headers has
+them (read() gives it, with its declared digests), go into the metadata record as warc-source-* fields, as declared; files of
+gzip members are inflated, and other files without a record raise.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -74,6 +77,20 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return f"{VERSION}\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
+def inflated(data: bytes) -> bytes:
+    """A file's bytes, with its gzip members inflated; a cut last member is read as far as it goes."""
+    if data[:2] != b"\x1f\x8b":
+        if data.strip() and b"WARC/" not in data:
+            raise ValueError("neither a WARC file nor one of gzip members")
+        return data
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data))
+        data = member.unused_data
+    return b"".join(out)
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records of a file: headers by lower-case name, and blocks. A cut last record is left out."""
     at = 0
@@ -104,12 +121,12 @@ def _clean(value: str) -> str:
     return " ".join(value.split())
 
 
-def derive_one(source_id: str, uri: str | None, date: str | None, block: bytes) -> list[dict]:
+def derive_one(source_id: str, uri: str | None, date: str | None, block: bytes, source: list[tuple[str, str]] = ()) -> list[dict]:
     status, http, payload = split_http(block)
     source_digest = digest(payload)
     kind = next((v for k, v in http if k.lower() == "content-type"), None)
     page = decoded(payload, kind)
-    fields = [("source-status", status), *((f"source-header-{k.lower()}", v) for k, v in http)]
+    fields = [("source-status", status), *((f"source-header-{k.lower()}", v) for k, v in http), *((f"warc-source-{k.lower().removeprefix('warc-')}", v) for k, v in source)]
     markup = _SKIP.sub(" ", page)
     if title := _TITLE.search(markup):
         fields.append(("title", _clean(html.unescape(title[1]))))
@@ -135,19 +152,20 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Two records for each response (columns RESPONSE), with the input's columns named in keep."""
     own = {f.name for f in _DERIVED} | {"record_id"}
     keep = tuple(k for k in keep if k.lower() not in own)
+    names = ["record_id", "target_uri", "warc_date", "block", *(["source_headers"] if "source_headers" in responses.columns else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [derive_one(i or identifier("response", u), u, d, b or b"") for i, u, d, b in zip(*(part.column(c).to_pylist() for c in ("record_id", "target_uri", "warc_date", "block")), strict=True)]
+                rows = [derive_one(i or identifier("response", u), u, d, b or b"", [(x["name"], x["value"]) for x in h[0] or ()] if h else ()) for i, u, d, b, *h in zip(*(part.column(c).to_pylist() for c in names), strict=True)]
                 made = pa.RecordBatch.from_pylist([x for two in rows for x in two], schema=_DERIVED)
                 twice = pa.array([k for k in range(part.num_rows) for _ in range(2)], pa.int32())
                 yield pa.RecordBatch.from_arrays([*(part.column(k).take(twice) for k in keep), *made.columns], names=[*keep, *_DERIVED.names])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in responses.schema.fields if f.name in keep)
     fields = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'binary' if f.type == pa.binary() else 'string'}" for f in _DERIVED)
-    return responses.select(*keep, "record_id", "target_uri", "warc_date", "block").mapInArrow(run, f"{kept}, {fields}" if kept else fields)
+    return responses.select(*(k for k in keep if k not in names), *names).mapInArrow(run, f"{kept}, {fields}" if kept else fields)
 
 
 def responses_of(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", date: Column | None = None) -> DataFrame:
@@ -161,15 +179,16 @@ def responses_of(pages: DataFrame, key: str = "page_id", url: str = "url", page:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The response records of WARC files that are not compressed; a file is read by one task."""
+    """The response records of WARC files, plain or of gzip members, with all their WARC headers; a file is read by one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_id", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("block", pa.binary())])
+        pair = pa.struct([("name", pa.string()), ("value", pa.string())])
+        schema = pa.schema([("record_id", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("block", pa.binary()), ("source_headers", pa.list_(pair))])
         for batch in batches:
             for data in batch.column("content"):
-                for h, block in parse(data.as_py() or b""):
+                for h, block in parse(inflated(data.as_py() or b"")):
                     if h.get("warc-type") == "response":
-                        row = {"record_id": h.get("warc-record-id"), "target_uri": h.get("warc-target-uri"), "warc_date": h.get("warc-date"), "block": block}
+                        row = {"record_id": h.get("warc-record-id"), "target_uri": h.get("warc-target-uri"), "warc_date": h.get("warc-date"), "block": block, "source_headers": [{"name": k, "value": v} for k, v in h.items()]}
                         yield pa.RecordBatch.from_pylist([row], schema=schema)
 
-    return without(spark.read.format("binaryFile").load(path), ("path", "length")).select("content").mapInArrow(run, RESPONSE)
+    return without(spark.read.format("binaryFile").load(path), ("path", "length")).select("content").mapInArrow(run, f"{RESPONSE}, source_headers array<struct<name: string, value: string>>")

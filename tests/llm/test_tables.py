@@ -320,3 +320,20 @@ def test_warc_tables(spark, tmp_path):
     back = warc.read(spark, str(tmp_path / "a.warc")).collect()
     assert [(r.record_id, r.target_uri, bytes(r.block)) for r in back] == [(one.record_id, one.target_uri, bytes(one.block))]
     assert warc.derive(warc.responses_of(pages.where("false"))).count() == 0
+
+
+def test_warc_source_headers_and_compressed_files(spark, tmp_path):
+    import gzip
+
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>x</p>"
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:a>"), ("WARC-Target-URI", "http://a/"), ("WARC-IP-Address", "10.0.0.1"), ("WARC-Payload-Digest", "sha1:DECLARED"), ("WARC-Block-Digest", "sha1:BLOCK")]
+    one = warc.record(headers, block)
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(one))
+    found = warc.derive(warc.read(spark, str(tmp_path / "a.warc.gz"))).collect()
+    assert Counter(r.warc_type for r in found) == {"metadata": 2, "conversion": 2}
+    meta = next(bytes(r.block).decode() for r in found if r.warc_type == "metadata")
+    for line in ("warc-source-ip-address: 10.0.0.1", "warc-source-payload-digest: sha1:DECLARED", "warc-source-block-digest: sha1:BLOCK"):
+        assert line in meta.split("\r\n")
+    (tmp_path / "b.warc.zst").write_bytes(b"\x28\xb5\x2f\xfd" + bytes(50))
+    with pytest.raises(Exception, match="neither a WARC file"):
+        warc.read(spark, str(tmp_path / "b.warc.zst")).collect()
