@@ -32,3 +32,13 @@ def test_query(spark, duck, name):
     found = duck.execute(ORACLES[name])
     want = canonical([d[0] for d in found.description], found.fetchall())
     assert canonical(df.columns, df.collect()) == want
+
+
+def test_resume_compares_the_stored_log_up_to_the_last_timesteps(spark, monkeypatch):
+    from flowspark.operators import ledger
+
+    seen, own = [], ledger.divergence
+    monkeypatch.setattr(ledger, "divergence", lambda stored, moves: seen.append((stored, moves)) or own(stored, moves))
+    QUERIES["resume_divergence"](spark, SF)
+    stored, moves = ({r.run_id: r["count"] for r in x.groupBy("run_id").count().collect()} for x in seen[0])
+    assert stored.keys() == moves.keys() and all(0.9 * moves[k] <= stored[k] < moves[k] for k in moves)
