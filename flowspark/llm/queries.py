@@ -53,8 +53,7 @@ SELECT * FROM r WHERE rank <= 20
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model, unigrams = lm_scoring.fit(docs.where(~lm_scoring.held_out(F.col("doc_id"))))
-    out = lm_scoring.score(docs, model, unigrams)
+    out = lm_scoring.score(docs, lm_scoring.fit(docs.where(~lm_scoring.held_out(F.col("doc_id")))))
     return out.select("doc_id", lm_scoring.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

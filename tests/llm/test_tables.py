@@ -141,50 +141,69 @@ def test_exact_top_k(spark):
     assert exact_topk.top_k(vectors.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_lm_scores(docs, empty):
-    train = docs.where(~lm_scoring.held_out(F.col("doc_id")))
-    model, unigrams = lm_scoring.fit(train)
-    rows = docs.collect()
-    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
+def _lm_scores(rows, train):
+    """The documented formula written out: (doc_id, n_tokens, n_known, base, score) of each of rows, learning from train."""
     tokens = lambda t: [*(t or "").translate(LOWER).split(), "\0"]
-    c = Counter(w for r in rows if not held(r.doc_id) for w in tokens(r.text))
-    n, d = sum(c.values()), math.log10(sum(c.values()) + 0.1 * (len(c) + 1))
-    want = Counter((r.doc_id, len(tokens(r.text)), sum(c[w] > 0 for w in tokens(r.text)), round(sum(math.log10(c[w] + 0.1) - d for w in tokens(r.text)), 4)) for r in rows)
-    found = lm_scoring.score(docs, model, unigrams).collect()
-    assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4)) for r in found) == want
-    assert {r.train_tokens for r in found} == {n} and all(r.score < 0 for r in found)
+    c, pairs = Counter(), Counter()
+    for t in train:
+        own = tokens(t)
+        c.update(own)
+        pairs.update(zip(["\1", *own], own))
+    n, mass = Counter(), Counter()
+    for (v, _), k in pairs.items():
+        n[v] += k
+        mass[v] += k - 0.5
+    z = sum(c.values()) + 0.1 * (len(c) + 1)
+    down = lambda x, least: least * 1.5 ** math.floor(math.log(x / least) / math.log(1.5) + 1e-9)
+    up = lambda x: 1.5 * down(x, 0.5)
+    out = []
+    for i, t in rows:
+        own, base, score = tokens(t), 0.0, 0.0
+        for v, w in zip(["\1", *own], own):
+            p = (c[w] + 0.1) / z
+            base += math.log10(p)
+            if n[v]:
+                of = n[v] if v == "\1" else up(n[v])
+                p *= 1 - 0.5 * min(up(mass[v]), of) / of
+                if pairs[v, w]:
+                    p += 0.5 * (down(pairs[v, w], 1.0) - 0.5) / of
+            score += math.log10(p)
+        out.append((i, len(own), sum(c[w] > 0 for w in own), round(base, 4), round(score, 4)))
+    return sorted(out, key=str), sum(c.values())
+
+
+@pytest.mark.parametrize("broadcast", [1 << 25, 0])
+def test_lm_scores(docs, empty, broadcast):
+    """Against the formula written out; with 80 bits an item the filter has no false positives. Both ways, broadcast and by buckets."""
+    settings = lm_scoring.Settings(broadcast=broadcast, chunk=5000, bits=80)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
+    want, n = _lm_scores(rows, [t for i, t in rows if not held(i)])
+    model = lm_scoring.fit(docs.where(~lm_scoring.held_out(F.col("doc_id"))), settings)
+    found = lm_scoring.score(docs, model).collect()
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4), round(r.score, 4)) for r in found), key=str)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert all(abs(a[k] - b[k]) < 0.002 for a, b in zip(got, want) for k in (3, 4))
+    assert {r.train_tokens for r in found} == {n}
     assert sum(r.score for r in found if held(r.doc_id)) > sum(r.base_score for r in found if held(r.doc_id))
-    nothing, none = lm_scoring.fit(empty)
-    assert all(r.n_known == 0 and r.train_tokens == 0 for r in lm_scoring.score(docs, nothing, none).collect())
-    assert lm_scoring.score(empty, model, unigrams).count() == 0
+    nothing = lm_scoring.fit(empty, settings)
+    assert all(r.n_known == 0 and r.train_tokens == 0 for r in lm_scoring.score(docs, nothing).collect())
+    assert lm_scoring.score(empty, model).count() == 0
 
 
-def test_lm_keeps_every_bigram_at_any_size(spark, monkeypatch):
-    """With a bound below the number of tokens, and a filter of many slices, singletons still score as they do in a small model."""
+def test_lm_scores_do_not_depend_on_how_the_model_lies(spark):
+    """Broadcast or in buckets, in small chunks or one, with many contexts spread or BEGIN alone: the same scores."""
     r = random.Random(9)
-    rows = [(i, " ".join("w%d" % r.randrange(300) for _ in range(80)) + f" once{i} again{i}") for i in range(200)]
+    rows = [(i, " ".join("w%d" % (r.randrange(300) if r.random() < 0.7 else 1) for _ in range(80)) + f" once{i} again{i}") for i in range(200)]
+    rows += [(500, "w1 " * 20_000), (501, None), (502, ""), (None, "w1 w2"), (500, "w1 " * 20_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    scores = lambda: {x.doc_id: x.score for x in lm_scoring.score(docs, *lm_scoring.fit(docs)).collect()}
+    scores = lambda **k: sorted(((x.doc_id or -1, round(x.score, 6)) for x in lm_scoring.score(docs, lm_scoring.fit(docs, lm_scoring.Settings(**k))).collect()))
     want = scores()
-    monkeypatch.setattr(lm_scoring, "ENTRIES", 1000, raising=False)
-    monkeypatch.setattr(lm_scoring, "SLICE", 500, raising=False)
-    found = scores()
-    assert all(math.isclose(found[i], want[i], rel_tol=1e-9) for i in range(200))
-    fitted, _ = lm_scoring.fit(docs)
-    assert len(fitted[1].parts) > 3
-    contexts, mass = np.array([0, 3, 2**31, 2**32 - 1], np.uint64), np.array([0.5, 3e9, 1.0, 17.5])
-    assert all(map(np.array_equal, lm_scoring.unpack_masses(lm_scoring.pack_masses(contexts, mass)), (contexts, mass)))
-
-
-def test_lm_tail_words_keep_exact_counts_in_seen_pairs(spark, monkeypatch):
-    """A word beyond the broadcast list weighs the same in a seen bigram as a broadcast one."""
-    docs = spark.createDataFrame([(i, f"a{i % 7} rare b{i % 5}") for i in range(40)], "doc_id long, text string")
-    out = []
-    for heavy in (lm_scoring.HEAVY, 4):
-        monkeypatch.setattr(lm_scoring, "HEAVY", heavy)
-        out.append({x.doc_id: x.base_score - x.score for x in lm_scoring.score(docs, *lm_scoring.fit(docs)).collect()})
-    # contexts' counts are rounded up by less than BASE (three bigrams of a text have such contexts)
-    assert all(abs(out[0][i] - out[1][i]) < 3 * math.log10(lm_scoring.BASE) for i in range(40))
+    assert scores(broadcast=0) == scores(broadcast=0, chunk=700) == want
+    exact = scores(bits=80)
+    for spread in (1000, 0.001):
+        assert scores(bits=80, broadcast=0, spread=spread) == exact
+    assert all(math.isclose(a[1], b[1], abs_tol=3, rel_tol=0.01) for a, b in zip(exact, want))
 
 
 def test_log_bloom_holds_what_was_put_in():
@@ -197,8 +216,8 @@ def test_log_bloom_holds_what_was_put_in():
     shards = {}
     for b in range(8):
         own = lm_scoring.bucket_of(keys, 8) == b
-        data = lm_scoring.shard(keys[own], levels[own])
-        shards[b] = (max(64, lm_scoring.BITS_PER_ITEM * int(levels[own].sum())), data.tobytes())
+        size = 10 * int(levels[own].sum())
+        shards[b] = (size, lm_scoring.shard(keys[own], levels[own], size).tobytes())
     bloom = lm_scoring.LogBloom(shards, 8)
     assert (bloom.levels(keys) >= levels).all() and (bloom.levels(keys) == levels).mean() > 0.95
     assert (bloom.levels(lm_scoring.mix(np.arange(10**6, 10**6 + 5000).astype(np.uint64))) > 0).mean() < 0.05
