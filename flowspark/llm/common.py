@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Texts are worked on in pieces of about this many bytes, so that temporary arrays stay small.
@@ -62,6 +63,11 @@ def release(*tables: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df marked for broadcast if it is counted to have at most so many rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def without(df: DataFrame, names) -> DataFrame:
     """df less its columns of these names in any case: an operator's own columns take their place."""
     names = {n.lower() for n in names}

@@ -4,15 +4,19 @@ Trigram counts of the trusted texts are summed by key over shards (partial sums
 counts of each context come from those by further grouping, and joins of the count tables give every n-gram's
 discounted share and every context's weight for the lower order. Discounts are estimated for each language and order.
 
-The training sample is bounded: the ``max_train_docs`` documents whose keys hash lowest, and of each language at least its
-lowest max_train_docs / 8 (or all it has), so every language with trusted text has a model, whatever the others hold. Scoring
-joins documents' n-grams to it: by broadcast if the model has at most ``broadcast_rows`` rows, else by a shuffle of
-the n-grams; both give the same figures. A language's threshold is a quantile of the perplexities of its trusted
-documents outside the sample (or of all its documents, if it has none), from exact counts by steps of 0.001 in log10.
+Trusted documents are split by a hash of their keys at every size: one in HELD_OUT (and of each language with two or more
+the one that hashes highest) is held out, and only sets the threshold. The training sample is bounded: of the others the
+``max_train_docs`` whose keys hash lowest, and of each language at least its lowest max_train_docs / 8 (or all it has), so
+every language with trusted text has a model, whatever the others hold. Scoring joins documents' n-grams to it: by
+broadcast if the model has at most ``broadcast_rows`` rows, else by a shuffle of the n-grams; both give the same
+figures. A language's threshold is a quantile of the perplexities of its held-out documents (of all its documents, if it has
+none), from exact counts by steps of 0.001 in log10.
 
 Defined results: null text is empty and has its end token alone; a null language is a language of its own; a language
-without training text has null perplexity and its documents are kept; a document trusted twice trains once in its language; repeated
-rows are scored each; an empty table gives an empty result; columns named like the operator's own (OWN) are replaced.
+without training text has null perplexity and its documents are kept; a document trusted twice trains once in its language,
+and of a key's different texts in one language the least trains; repeated rows are scored each; an empty table gives an
+empty result; columns named like the operator's own (OWN) are replaced; a very long text is scored whole, in memory
+bounded by that one text.
 """
 
 from __future__ import annotations
@@ -25,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, Texts, chain, cut, mix, pieces, signed, without
+from .common import U64, Texts, chain, cut, pieces, release, signed, small, without
 from .lm_scoring import BEGIN, tokens
 
 OWN = ("n_tokens", "log10_prob", "perplexity", "threshold", "kept", "__lang", "__row", "__step", "__trusted", "__sampled")
 ALPHA3, GAMMA3, ALPHA2, GAMMA2, UNIGRAM, UNKNOWN = (U64(k) for k in range(1, 7))
-EMPTY = U64(0x5851F42D4C957F2D)
+#: One trusted document in so many sets thresholds.
+HELD_OUT = 5
 
 
 @dataclass(frozen=True)
@@ -76,11 +81,12 @@ def _discounts(counts: DataFrame, name: str) -> DataFrame:
 def _level(grams: DataFrame, context: list[str]) -> tuple[DataFrame, DataFrame]:
     """grams (lang, words, c): each one's discounted share of its context, and each context's weight for the lower order."""
     by = ["lang", *context]
-    d = _discounts(grams, "d")
+    d = small(_discounts(grams, "d"))
     sums = grams.groupBy(*by).agg(F.sum("c").alias("total"), *[F.count_if(x).alias(f"n{k}") for k, x in ((1, F.col("c") == 1), (2, F.col("c") == 2), (3, F.col("c") > 2))])
     off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    joined = grams.join(sums.select(*by, "total"), by).join(d, "lang")
-    shares = joined.withColumn("x", (F.col("c") - off) / F.col("total"))
+    # a language alone is a hot key with one sum: it is attached, not gathered
+    whole = grams.withColumn("total", F.sum("c").over(Window.partitionBy(*by))) if context else grams.join(small(sums.select("lang", "total")), "lang")
+    shares = whole.join(d, "lang").withColumn("x", (F.col("c") - off) / F.col("total"))
     weights = sums.join(d, "lang").withColumn("x", (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total"))
     return shares, weights
 
@@ -103,14 +109,16 @@ def fit(train: DataFrame) -> DataFrame:
     a2, w2 = _level(g2, ["v"])
     a1, w1 = _level(g1, [])
     words = g1.groupBy("lang").agg(F.count("*").alias("types"))
-    unknown = w1.join(words, "lang").select("lang", (F.col("x") / (F.col("types") + 1)).alias("x"))
+    unknown = small(w1.join(words, "lang").select("lang", (F.col("x") / (F.col("types") + 1)).alias("x")))
     one = a1.join(unknown.withColumnRenamed("x", "rest"), "lang").select("lang", "w", (F.col("x") + F.col("rest")).alias("x"))
     parts = [(ALPHA3, a3, ["u", "v", "w"]), (GAMMA3, w3, ["u", "v"]), (ALPHA2, a2, ["v", "w"]), (GAMMA2, w2, ["v"]), (UNIGRAM, one, ["w"]), (UNKNOWN, unknown, [])]
     out = None
     for kind, rows, names in parts:
         part = rows.select("lang", *names, "x").mapInArrow(_keyed(kind, names), "key long, x double")
         out = part if out is None else out.unionAll(part)
-    return cut(out)
+    model = cut(out)
+    release(g3, g2, g1)
+    return model
 
 
 def _asked(texts: Texts, lang: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -189,27 +197,30 @@ def classify(docs: DataFrame, trusted: DataFrame, settings: Settings = Settings(
     """docs with n_tokens, log10_prob, perplexity, threshold and kept. trusted: a table of keys of trusted documents."""
     docs = without(docs, OWN)
     good = trusted.select(F.col(key).alias("__key")).distinct()
-    sample = docs.join(good, docs[key] == F.col("__key"), "left_semi").select(F.col(key).alias("__key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    pairs = cut(sample.select("lang", "__key").distinct().withColumn("__h", F.xxhash64("__key")))
-    lowest = pairs.select("__h", "__key").distinct().orderBy("__h", "__key").limit(settings.max_train_docs).select("__key")
+    pairs = docs.select(F.col(key).alias("__key"), F.col(lang).alias("lang")).join(good, "__key", "left_semi").distinct()
+    pairs = cut(pairs.withColumn("__h", F.xxhash64("__key")))
+    top = small(pairs.groupBy(F.col("lang").alias("__of")).agg(F.max("__h").alias("__top"), F.count("*").alias("__size")))
+    held = F.pmod(F.xxhash64("__key", F.lit(HELD_OUT)), F.lit(HELD_OUT)) == 0
+    pairs = pairs.join(top, F.col("lang").eqNullSafe(F.col("__of"))).withColumn("__held", held | ((F.col("__size") > 1) & (F.col("__h") == F.col("__top"))))
+    open_ = pairs.where("NOT __held")
+    lowest = open_.select("__h", "__key").distinct().orderBy("__h", "__key").limit(settings.max_train_docs).select("__key")
     least = max(1, settings.max_train_docs // 8)
-    sizes = pairs.groupBy(F.col("lang").alias("__of")).agg(F.count("*").alias("__size"))
     # of a language's keys only the lowest hashes, about twice as many as are taken, are ranked in its one task
-    near = (F.col("__h") / F.lit(2.0**64) + 0.5) * F.col("__size") <= 2 * least + 100
-    ranked = pairs.join(F.broadcast(sizes), F.col("lang").eqNullSafe(F.col("__of"))).where(near)
-    ranked = ranked.withColumn("__n", F.row_number().over(Window.partitionBy("lang").orderBy("__h", "__key"))).where(F.col("__n") <= least)
-    chosen = cut(pairs.join(F.broadcast(lowest), "__key", "left_semi").select("lang", "__key").unionAll(ranked.select("lang", "__key")).distinct())
-    picked = chosen.select(F.col("lang").alias("__of"), F.col("__key").alias("__id"))
-    model = fit(sample.join(F.broadcast(picked), (F.col("__key") == F.col("__id")) & F.col("lang").eqNullSafe(F.col("__of")), "left_semi").dropDuplicates(["lang", "__key"]))
+    near = (F.col("__h") / F.lit(2.0**64) + 0.5) * F.col("__size") * (1 - 1 / HELD_OUT) <= 2 * least + 100
+    ranked = open_.where(near).withColumn("__n", F.row_number().over(Window.partitionBy("lang").orderBy("__h", "__key"))).where(F.col("__n") <= least)
+    chosen = open_.join(F.broadcast(lowest), "__key", "left_semi").select("lang", "__key").unionAll(ranked.select("lang", "__key")).distinct()
+    picked = small(cut(chosen.select(F.col("lang").alias("__of"), F.col("__key").alias("__id"))))
+    sample = docs.join(picked, (docs[key] == F.col("__id")) & docs[lang].eqNullSafe(F.col("__of"))).groupBy(F.col("__of").alias("lang"), "__id").agg(F.min(text).alias("text"))
+    model = fit(sample)
     scored = perplexities(docs, model, settings, text, lang)
     scored = cut(scored if keep_text else scored.drop(text))
     step = F.floor(-F.col("log10_prob") / F.col("n_tokens") * 1000)
     marks = scored.select(F.col(key).alias("__key"), F.col(lang).alias("__lang"), step.alias("__step")).where("__step IS NOT NULL")
-    outside = good.join(chosen.select("__key"), "__key", "left_anti").withColumn("__trusted", F.lit(True))
+    outside = pairs.where("__held").select("__key").distinct().withColumn("__trusted", F.lit(True))
     marks = marks.join(outside, "__key", "left").groupBy("__lang", "__step").agg(F.count("*").alias("every"), F.count("__trusted").alias("own"))
     whole = Window.partitionBy("__lang")
     marks = marks.withColumn("n", F.when(F.sum("own").over(whole) > 0, F.col("own")).otherwise(F.col("every")))
     marks = marks.withColumn("upto", F.sum("n").over(whole.orderBy("__step"))).withColumn("of", F.sum("n").over(whole))
     limits = marks.where(F.col("upto") >= settings.quantile * F.col("of")).groupBy("__lang").agg(F.min("__step").alias("limit"))
-    out = scored.withColumn("__step", step).join(limits, scored[lang].eqNullSafe(F.col("__lang")), "left")
+    out = scored.withColumn("__step", step).join(small(limits), scored[lang].eqNullSafe(F.col("__lang")), "left")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n_tokens"))).withColumn("threshold", F.pow(F.lit(10.0), (F.col("limit") + 1) / 1000)).withColumn("kept", F.coalesce(F.col("__step") <= F.col("limit"), F.lit(True))).drop("__step", "__lang", "limit")

@@ -312,6 +312,64 @@ def test_classifier_models_every_trusted_language(spark):
     assert not found[2000].kept
 
 
+def _kneser_ney(train):
+    """Interpolated modified Kneser-Ney trigrams written out: log10 probability of a text."""
+    tokens = lambda t: ["\1", "\1", *(t or "").translate(LOWER).split(), "\0"]
+    grams = [Counter(), Counter(), Counter()]
+    for t in train:
+        w = tokens(t)
+        grams[2].update(zip(w, w[1:], w[2:]))
+    grams[1].update(x[1:] for x in grams[2])
+    grams[0].update(x[1:] for x in grams[1])
+
+    def discounts(c):
+        n = [sum(v == k for v in c.values()) for k in range(5)]
+        y = n[1] / max(n[1] + 2 * n[2], 1)
+        return [max(0.1, min(k - (k + 1) * y * n[k + 1] / n[k], k - 0.1)) if n[k] and n[k + 1] else 0.5 * k for k in (1, 2, 3)]
+
+    levels = []
+    for c in grams:
+        total, off, d = Counter(), Counter(), discounts(c)
+        for x, v in c.items():
+            total[x[:-1]] += v
+            off[x[:-1]] += d[min(v, 3) - 1]
+        levels.append((c, total, off, d))
+
+    def p(x):
+        c, total, off, d = levels[len(x) - 1]
+        lower = p(x[1:]) if len(x) > 1 else 1 / (len(c) + 1)
+        h = x[:-1]
+        if h not in total:
+            return lower
+        return (max(0, c[x] - d[min(c[x], 3) - 1]) if x in c else 0) / total[h] + off[h] / total[h] * lower
+
+    return lambda t: sum(math.log10(p(x)) for x in zip(tokens(t), tokens(t)[1:], tokens(t)[2:]))
+
+
+def test_classifier_equals_plain_kneser_ney(spark, docs):
+    """The model of some texts and the perplexities of all, in both forms, against the formulas written out."""
+    r = random.Random(4)
+    text = lambda n: " ".join("w%d" % min(r.randrange(30), r.randrange(30)) for _ in range(n))
+    train = [(lang, text(r.randrange(1, 60))) for lang in ("en", "fr", None) for _ in range(12)] + [("en", None), ("fr", "")]
+    model = kneser_ney.fit(spark.createDataFrame(train, "lang string, text string"))
+    rows = [(i, text(40) + " unseen" * (i % 2), ("en", "fr", None, "xx")[i % 4]) for i in range(20)] + [(30, None, "en"), (31, "w1 " * 3000, "fr")]
+    want = {lang: _kneser_ney([t for k, t in train if k == lang]) for lang in ("en", "fr", None)}
+    for n in (10**6, 0):
+        found = kneser_ney.perplexities(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model, kneser_ney.Settings(broadcast_rows=n)).collect()
+        assert len(found) == len(rows)
+        for x in found:
+            assert x.log10_prob is None if x.lang == "xx" else math.isclose(x.log10_prob, want[x.lang](x.text), rel_tol=1e-9), (x, n)
+
+
+def test_classifier_holds_out_at_every_size(spark):
+    """Of few trusted documents too a share sets the threshold, so junk goes; the model and its limits do not depend on the bound."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    out = kneser_ney.classify(docs, labels.where("quality = 1"), keep_text=False).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    kept = {x.quality: x.kept for x in out.collect()}
+    assert kept[0] < 0.25 and kept[1] > 0.9
+
+
 def test_model_sums_to_one(spark):
     text = spark.createDataFrame([(7, "a b a c a b"), (7, "b a a")], "x long, text string").withColumn("lang", F.lit("en"))
     model = kneser_ney.fit(text)
