@@ -550,7 +550,7 @@ def fit(train: DataFrame, settings: Settings = Settings()) -> Model:
     """The model of the texts (column text)."""
     train = train.select("text")
     buckets = max(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), train.rdd.getNumPartitions())
-    dealt = lambda rows: rows.repartition(buckets, "bucket")
+    dealt = lambda rows: rows.repartitionById(buckets, F.col("bucket"))
     words = cut(dealt(train.mapInArrow(_counted(buckets, None, settings.chunk), "bucket int, data binary")).mapInArrow(_word_tables, "bucket int, n long, v long, data binary"))
     whole = words.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     total = int(whole.n or 0)
@@ -578,6 +578,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     else:
         stored = model.rows.select("bucket", "kind", F.lit(None).cast("long").alias("chunk"), "bits", "data")
         asked = stored.unionAll(docs.mapInArrow(_ask(model.buckets, model.spread, model.settings.chunk), _ROW))
-        answered = asked.repartition(model.buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, _ROW)
-        out = answered.repartition(model.buckets, "chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(_finish(model.buckets, model.spread, *numbers), result)
+        answered = asked.repartitionById(model.buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(_answer, _ROW)
+        place = F.pmod(F.shiftright("chunk", 32) + F.col("chunk").bitwiseAND(0xFFFFFFFF), F.lit(model.buckets)).cast("int")
+        out = answered.repartitionById(model.buckets, place).sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(_finish(model.buckets, model.spread, *numbers), result)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
