@@ -10,17 +10,20 @@
 4. Stars: every class in a list of postings meets the list's least class; the matches are confirmed on the full sets, and
    linked classes are contracted to components. In a group of near copies this joins most at a cost in proportion to it.
 5. Lists that still hold several components tie these to families. In a family only pairs of different components are
-   left, and one link between two components settles all of theirs. They are tested in blocks of BLOCK by BLOCK classes,
-   of which the family's main component meets only the others; so a family of any size is spread over tasks, each block
-   counts the collisions of its pairs, confirms those above the threshold on the full sets, and gives only the links that
-   join two components.
+   left, and one link between two components settles all of theirs. In a family of more than BLOCK classes, shingles are
+   counted first: a class skips what follows if fewer than the similarity's share of its shingles occur in other
+   components (pages of one template that are not alike end here, in rows in proportion to their shingles). The
+   others are tested in blocks of BLOCK by BLOCK classes, of which the family's main component meets only the others; so
+   a family of any size is spread over tasks, each block counts the collisions of its pairs, confirms those above the
+   threshold on the full sets, and gives only the links that join two components.
 
 No list, partner or candidate is capped: left out are only pairs that are linked already, or that agree in too few
 coordinates.
 
 Defined results: null and empty texts, or texts without words, have no shingles and link with nothing; fewer than
 SHINGLE words are one shingle; rows without a doc_id link with nothing (component null, kept false); repeated rows
-are alike; an empty table gives an empty result. Columns of the input named like the operator's own (OWN) are dropped.
+are alike; an empty table gives an empty result; a very long text has all its shingles, and memory is bounded by BLOCK such
+sets. link() gives its own columns alone; dedupe() gives the columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,16 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Texts, chain, cut, mix, pieces, signed, without
+from .common import U64, Texts, chain, cut, join_counted, mix, pieces, release, signed, small
 from .components import components
 
 SHINGLE = 5
 POSTED, COORDINATES = 64, 256
 MISS = 1e-6
-BLOCK = 256
+BLOCK = 512
 #: Classes with copies are broadcast up to so many (16 bytes each), and joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
-OWN = ("n_shingles", "component_id", "kept", "__class")
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 63, COORDINATES, dtype=U64) * U64(2) + _rng.integers(0, 2, COORDINATES, dtype=U64)
@@ -176,8 +178,8 @@ def _agree(least: int):
 
 def _stars(postings: DataFrame, classes: DataFrame, percent: int, least: int) -> DataFrame:
     """Pairs of each class with the least class of each of its lists, if they match."""
-    heads = postings.groupBy("token").agg(F.min("class").alias("head"))
-    pairs = postings.join(heads, "token").where("class <> head").select(F.col("class").alias("u"), F.col("head").alias("v")).distinct()
+    heads = postings.groupBy("token").agg(F.min("class").alias("head"), F.count("*").alias("n"))
+    pairs = join_counted(postings, heads, "token", postings.count()).where("class <> head").select(F.col("class").alias("u"), F.col("head").alias("v")).distinct()
     a = classes.select(F.col("class").alias("u"), F.col("n").alias("na"), F.col("sig").alias("ga"))
     b = classes.select(F.col("class").alias("v"), F.col("n").alias("nb"), F.col("sig").alias("gb"))
     return pairs.join(a, "u").join(b, "v").where(_fits(percent)).select("u", "v", "ga", "gb").mapInArrow(_agree(least), "u long, v long")
@@ -257,35 +259,67 @@ def _block_links(percent: int, least: int):
     return run
 
 
-def _across(postings: DataFrame, classes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, least: int) -> DataFrame:
-    """The links that stars did not find: between components that share a list."""
-    own = postings.join(labels, "class", "left").select("token", F.coalesce("label", "class").alias("label")).distinct()
-    heads = own.groupBy("token").agg(F.min("label").alias("head"), F.max("label").alias("top")).where("head < top").select("token", "head")
-    mixed = cut(own.join(heads, "token").where("label <> head").select(F.col("label").alias("u"), F.col("head").alias("v")).distinct())
+def _families(postings: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(family, label, class, n): the classes of components that share a list with another component."""
+    own = cut(postings.join(labels, "class", "left").select("token", F.coalesce("label", "class").alias("label")).distinct())
+    heads = own.groupBy("token").agg(F.min("label").alias("head"), F.max("label").alias("top"), F.count("*").alias("n"))
+    mixed = cut(join_counted(own, heads, "token", own.count()).where("head < top AND label <> head").select(F.col("label").alias("u"), F.col("head").alias("v")).distinct())
     found = components(mixed).select(F.col("u").alias("label"), F.col("root").alias("family"))
-    found = found.unionAll(found.select(F.col("family").alias("label"), "family").distinct())
-    members = classes.select("class", "n", "sig").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")).join(found, "label")
-    members = cut(members.join(sets, "class"))
+    found = small(cut(found.unionAll(found.select(F.col("family").alias("label"), "family").distinct())))
+    members = cut(classes.select("class", "n").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")).join(found, "label").select("family", "label", "class", "n"))
+    release(own, mixed)
+    return members
+
+
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for family, label, name, data in zip(batch.column("family").to_pylist(), batch.column("label").to_pylist(), batch.column("class").to_pylist(), batch.column("shingles"), strict=True):
+            keys = mix(np.frombuffer(data.as_buffer(), U64) ^ mix(np.array([family], np.int64).view(U64)))
+            n = len(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(np.full(n, name, np.int64)), pa.array(np.full(n, label, np.int64))], names=["k", "class", "label"])
+
+
+def _skipped(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """members without those of families above BLOCK classes that cannot link to another component: a class whose partner is
+    in another component shares at least percent of its own shingles with it, so with classes of other components together."""
+    sizes = members.groupBy("family").agg(F.count("*").alias("size"))
+    large = cut(sizes.where(F.col("size") > BLOCK).select("family"))
+    if large.isEmpty():
+        return members
+    wide = members.join(small(large), "family")
+    rows = wide.join(sets, "class").select("family", "label", "class", "shingles").mapInArrow(_shingle_rows, "k long, class long, label long")
+    ends = rows.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
+    total = wide.agg(F.sum("n")).first()[0]
+    shared = join_counted(rows, ends, "k", total).where("lo < hi").groupBy("class").agg(F.count("*").alias("shared"))
+    left = wide.join(shared, "class").where(100 * F.col("shared") >= percent * F.col("n")).select("family", "label", "class", "n")
+    return cut(members.join(small(large), "family", "left_anti").unionByName(left))
+
+
+def _blocks(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each class with its signature and shingles in every block that it takes part in: BLOCK by BLOCK pairs of classes of a family."""
     sizes = members.groupBy("family", "label").agg(F.count("*").alias("k"))
     shape = sizes.groupBy("family").agg(F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("main"))
     shape = shape.select("family", F.col("main.label").alias("main"), F.ceil((F.col("size") - F.col("main.k")) / BLOCK).alias("outer"), F.ceil(F.col("main.k") / BLOCK).alias("inner"))
-    own = members.join(shape, "family")
+    own = members.join(classes.select("class", "sig"), "class").join(sets, "class").join(small(shape.where("outer > 0")), "family")
     block = lambda count: F.pmod(F.xxhash64("class", F.lit(7)), count).cast("int")
     upto = lambda count: F.sequence(F.lit(0), count.cast("int") - 1)
-    outside = own.where("label <> main").withColumn("b", block(F.col("outer")))
-    inside = own.where("label = main").withColumn("b", block(F.col("inner")))
-    keep = ["family", "class", "label", "n", "sig", "shingles"]
+    outside = F.col("label") != F.col("main")
+    b = F.when(outside, block(F.col("outer"))).otherwise(block(F.col("inner")))
     # side 0: rows, 1: columns, 2: both (a block of the outside with itself)
-    parts = [
-        outside.select(*keep, F.col("b").alias("i"), F.explode(upto(F.col("inner"))).alias("j"), F.lit(0).alias("side")),
-        inside.select(*keep, F.explode(upto(F.col("outer"))).alias("i"), F.col("b").alias("j"), F.lit(1).alias("side")),
-        outside.select(*keep, "b", F.explode(upto(F.col("outer"))).alias("o")).select(
-            *keep, F.least("b", "o").alias("i"), (-1 - F.greatest("b", "o")).alias("j"),
-            F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1).alias("side"),
-        ),
-    ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).repartition(F.col("family"), F.col("i"), F.col("j")).sortWithinPartitions("family", "i", "j")
-    return rows.select("family", "i", "j", "side", "class", "label", "n", "sig", "shingles").mapInArrow(_block_links(percent, least), "u long, v long")
+    place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    to_inside = F.transform(upto(F.col("inner")), lambda j: place(F.col("b"), j, F.lit(0)))
+    to_outside = F.transform(upto(F.col("outer")), lambda o: place(F.least("b", o), -1 - F.greatest("b", o), F.when(F.col("b") == o, 2).when(F.col("b") < o, 0).otherwise(1)))
+    from_inside = F.transform(upto(F.col("outer")), lambda i: place(i, F.col("b"), F.lit(1)))
+    places = F.when(outside, F.concat(to_inside, to_outside)).otherwise(from_inside)
+    keep = ["class", "label", "n", "sig", "shingles"]
+    return own.withColumn("b", b).withColumn("p", F.explode(places)).select("family", "p.i", "p.j", "p.side", *keep)
+
+
+def _across(postings: DataFrame, classes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, least: int) -> DataFrame:
+    """The links that stars did not find: between components that share a list."""
+    members = _skipped(_families(postings, classes, labels), sets, percent)
+    rows = _blocks(members, classes, sets).repartition(F.col("family"), F.col("i"), F.col("j")).sortWithinPartitions("family", "i", "j")
+    return rows.mapInArrow(_block_links(percent, least), "u long, v long")
 
 
 def link(docs: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:

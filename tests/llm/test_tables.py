@@ -67,6 +67,8 @@ def test_components(spark):
     want = {x: find(x) for x in root if find(x) != x}
     assert {x.u: x.root for x in components(spark.createDataFrame(edges, "u long, v long")).collect()} == want
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    star = [(1, k) for k in range(2, 3000)] + [(k, 5000 + k) for k in range(2, 40)] + [(4, 4), (None, 3), (7, 1), (1, 2)]
+    assert {x.root for x in components(spark.createDataFrame(star, "u long, v long")).collect()} == {1}
 
 
 @pytest.mark.parametrize("percent", [85, 80])
@@ -101,26 +103,39 @@ def test_near_duplicates_of_one_large_family(spark):
     r = random.Random(5)
     base = ["w%d" % k for k in range(120)]
     rows = []
-    for i in range(600):
+    for i in range(800):
         w = list(base)
         for _ in range(r.choice((0, 1, 2, 3, 5, 8))):
             w[r.randrange(120)] = "x%d" % r.randrange(10**6)
         rows.append((i, " ".join(w)))
     sets = [shingle_set(t) for _, t in rows]
-    root = list(range(600))
+    root = list(range(800))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a in range(600):
+    for a in range(800):
         for b in range(a):
             if find(a) != find(b) and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     found = minhash_dedup.link(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()
-    assert {r.doc_id: r.component_id for r in found} == {k: find(k) for k in range(600)}
+    assert {r.doc_id: r.component_id for r in found} == {k: find(k) for k in range(800)}
+
+
+def test_pages_of_one_template_are_not_compared_in_pairs(spark, monkeypatch):
+    """Pages of similarity 0.6 link with nothing, and the rows that reach blocks do not grow with their square; true copies among them are found."""
+    seen, plain = [], minhash_dedup._blocks
+    monkeypatch.setattr(minhash_dedup, "_blocks", lambda *args: (out := plain(*args), seen.append(out.count()))[0])
+    template = " ".join("t%d" % k for k in range(150))
+    for count in (700, 1400):
+        rows = [(i, f"{template} " + " ".join("p%d_%d" % (i, k) for k in range(50))) for i in range(count)]
+        rows += [(10_000 + i, f"{template} " + " ".join("p%d_%d" % (i, k) for k in range(48)) + " other end") for i in range(0, count, 100)]
+        found = {x.doc_id: x.component_id for x in minhash_dedup.link(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+        assert found == {i: i % 10_000 for i, _ in rows}
+    assert seen[1] <= 2.5 * seen[0] + 100
 
 
 def test_exact_top_k(spark):
