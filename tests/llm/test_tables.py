@@ -150,12 +150,28 @@ def test_exact_top_k(spark):
             scored = sorted((-sum(x * y for x, y in zip(a, b)), c) for c, b in good if c != q and len(b) == len(a))[:20]
             top = 2**63 - 1
             want |= {(q, k + 1): (c, max(-top - 1, min(top, -s))) for k, (s, c) in enumerate(scored)}
-    found = {(x.query_id, x.rank): (x.vec_id, x.score) for x in exact_topk.top_k(vectors, F.col("vec_id") % 20 == 0).collect()}
-    assert found.keys() == want.keys()
-    assert all(found[k] == want[k] for k in want if k[0] != 360 and abs(want[k][1]) < 2**62)
+    # broadcast, and in tiles of a few queries
+    for room in (exact_topk.GROUP_BYTES, 200):
+        found = {(x.query_id, x.rank): (x.vec_id, x.score) for x in exact_topk.top_k(vectors, F.col("vec_id") % 20 == 0, group_bytes=room).collect()}
+        assert found.keys() == want.keys()
+        assert all(found[k] == want[k] for k in want if k[0] != 360 and abs(want[k][1]) < 2**62)
     assert exact_topk.top_k(vectors.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("room", [exact_topk.GROUP_BYTES, 100])
+def test_exact_top_k_of_repeated_ids(spark, room):
+    """Each query row has its own list, which holds every candidate row of another id, repeated ones too."""
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (40, [1.0, 1.0]), (40, [1.0, 1.0])] + [(k, [k / 8, 1.0]) for k in (1, 1, 3, 5)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    found = Counter((x.query_id, x.rank, x.vec_id, x.score) for x in exact_topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=3, group_bytes=room).collect())
+    want = Counter()
+    for q, a in rows:
+        if q % 20 == 0:
+            scored = sorted((-sum(math.floor(64 * x) * math.floor(64 * y) for x, y in zip(a, b)), c) for c, b in rows if c != q)
+            want.update((q, n + 1, c, -s) for n, (s, c) in enumerate(scored[:3]))
+    assert found == want
+
+
 def _lm_scores(rows, train):
     """The documented formula written out: (doc_id, n_tokens, n_known, base, score) of each of rows, learning from train."""
     tokens = lambda t: [*(t or "").translate(LOWER).split(), "\0"]
