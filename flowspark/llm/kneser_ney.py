@@ -135,23 +135,37 @@ def _probability(x: list[np.ndarray]) -> np.ndarray:
     return np.where(np.isnan(g3), p, np.nan_to_num(a3) + g3 * p)
 
 
-def _score(names: list[str], text: str, lang: str, shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = shared.value
+class _Rows:
+    """The model's rows sorted by key, with the place of each run of keys of equal upper bits, about one row long."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+        self.shift = U64(64 - max(1, len(keys).bit_length()))
+        self.starts = np.searchsorted(keys >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=U64)).astype(np.int32)
+
+    def get(self, asked: np.ndarray) -> np.ndarray:
+        """The values of keys, NaN where there are none."""
+        out = np.full(len(asked), np.nan)
+        run = (asked >> self.shift).astype(np.int64)
+        at, end = self.starts[run], self.starts[run + 1]
+        left = np.flatnonzero(at < end)
+        at, end, wanted = at[left], end[left], asked[left]
+        while len(left):
+            same = self.keys[at] == wanted
+            out[left[same]] = self.values[at[same]]
+            go = ~same & (at + 1 < end)
+            left, at, end, wanted = left[go], at[go] + 1, end[go], wanted[go]
+        return out
 
-        def get(k: np.ndarray) -> np.ndarray:
-            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-            return np.where(keys[at] == k, values[at], np.nan)
 
+def _score(names: list[str], text: str, lang: str, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _Rows(*shared.value)
         for batch in batches:
             for part in pieces(batch, text):
                 asked, first = _asked(Texts.of(part.column(text)), languages(part.column(lang)))
-                if len(keys):
-                    *most, last = asked
-                    x = [get(k) for k in most]
-                    k, which = np.unique(last, return_inverse=True)
-                    x.append(get(k)[which])
-                    logs = np.add.reduceat(np.log10(_probability(x)), first[:-1]) if len(first) > 1 else np.zeros(0)
+                if len(rows.keys):
+                    logs = np.add.reduceat(np.log10(_probability([rows.get(k) for k in asked])), first[:-1]) if len(first) > 1 else np.zeros(0)
                 else:
                     logs = np.full(len(first) - 1, np.nan)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(np.diff(first)), pa.array(logs, mask=np.isnan(logs))], names=[*names, "n_tokens", "log10_prob"])
