@@ -1,13 +1,17 @@
 """Finite binary64 arithmetic, as columns and as Python scalars with the same results.
 
-Every operand and result must be finite; a negative zero becomes zero. Columns raise on a violation; NULL stays NULL.
-Sums of doubles depend on their order, so they are folds over sorted arrays, never ``sum``.
+Every operand and result must be finite; a negative zero becomes zero. Columns raise on a violation; NULL stays NULL. Those
+built under ``quiet()`` do not raise but give NaN (a comparison gives NULL), which every further operation hands on, so that a
+job over many runs can tell which of them fail. Sums of doubles depend on their order, so they are folds over sorted arrays, never ``sum``.
 """
 
 from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,10 +25,29 @@ def _column(x) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
+_QUIET: ContextVar[bool] = ContextVar("quiet", default=False)
+
+
+@contextmanager
+def quiet() -> Iterator[None]:
+    """Columns that are built inside give NaN where others raise."""
+    before = _QUIET.set(True)
+    try:
+        yield
+    finally:
+        _QUIET.reset(before)
+
+
+def _fail(message: str) -> Column:
+    return F.lit(math.nan) if _QUIET.get() else F.raise_error(F.lit(message)).cast("double")
+
+
 def finite(x, what: str = "result") -> Column:
     """x, checked; -0 as 0. NaN is above every number in Spark, so one comparison finds both NaN and infinities."""
     x = _column(x)
-    return F.when(F.abs(x) > _MOST, F.raise_error(F.lit(f"NON_FINITE: {what}")).cast("double")).otherwise(x + F.lit(0.0))
+    if _QUIET.get():
+        return F.when(F.abs(x) <= _MOST, x + F.lit(0.0)).otherwise(F.lit(math.nan))
+    return F.when(F.abs(x) > _MOST, _fail(f"NON_FINITE: {what}")).otherwise(x + F.lit(0.0))
 
 
 _MOST = sys.float_info.max
@@ -60,15 +83,23 @@ def divide(a, b) -> Column:
     if not isinstance(b, Column) and b:
         return _column(a) / F.lit(float(b))
     b = _checked(b)
-    return _column(a) / F.when(b == 0, F.raise_error(F.lit("NON_FINITE: divide")).cast("double")).otherwise(b)
+    return _column(a) / F.when(b == 0, _fail("NON_FINITE: divide")).otherwise(b)
 
 
 def power(a, b) -> Column:
-    return F.pow(_checked(a), _checked(b))
+    a, b = _checked(a), _checked(b)
+    if _QUIET.get():  # NaN ** 0 is 1
+        return F.when(~F.isnan(a) & ~F.isnan(b), F.pow(a, b)).otherwise(F.lit(math.nan))
+    return F.pow(a, b)
+
+
+def _least(a: Column, b: Column) -> Column:
+    """The lesser; NaN, which is the greatest number, if either is NaN and columns are quiet."""
+    return -F.greatest(-a, -b) if _QUIET.get() else F.least(a, b)
 
 
 def minimum(a, b) -> Column:
-    return F.least(_checked(a), _checked(b))
+    return _least(_checked(a), _checked(b))
 
 
 def maximum(a, b) -> Column:
@@ -77,7 +108,7 @@ def maximum(a, b) -> Column:
 
 def clamp(v, lo, hi) -> Column:
     lo, hi = _checked(lo), _checked(hi)
-    return F.when(lo > hi, F.raise_error(F.lit("CLAMP_BOUNDS")).cast("double")).otherwise(F.least(F.greatest(_checked(v), lo), hi))
+    return F.when(lo > hi, _fail("CLAMP_BOUNDS")).otherwise(_least(F.greatest(_checked(v), lo), hi))
 
 
 _COMPARE = {
@@ -92,11 +123,15 @@ COMPARISONS = tuple(_COMPARE)
 
 
 def compare(op: str, a, b) -> Column:
-    return _COMPARE[op](_checked(a), _checked(b))
+    a, b = _checked(a), _checked(b)
+    out = _COMPARE[op](a, b)
+    return F.when(~F.isnan(a) & ~F.isnan(b), out) if _QUIET.get() else out
 
 
 def select(condition: Column, a, b) -> Column:
     """Only the chosen side is evaluated."""
+    if _QUIET.get():
+        return F.when(condition.isNull(), F.lit(math.nan)).when(condition, _column(a)).otherwise(_column(b))
     return F.when(condition, _column(a)).otherwise(_column(b))
 
 
@@ -127,12 +162,13 @@ def interpolate(x: Column, knots: list[tuple[float, float]], policy: str) -> Col
     first, last = knots[0], knots[-1]
     x = _checked(x)
     if policy == "reject":
-        below = above = F.raise_error(F.lit("TABLE_BOUNDARY")).cast("double")
+        below = above = _fail("TABLE_BOUNDARY")
     elif policy == "clamp_to_endpoint":
         below, above = F.lit(first[1]), F.lit(last[1])
     else:
         below, above = linear(x, *first, *knots[1]), linear(x, *knots[-2], *last)
-    out = F.when(x < first[0], below).when(x > last[0], above)
+    out = F.when(F.isnan(x), x).when(x < first[0], below) if _QUIET.get() else F.when(x < first[0], below)
+    out = out.when(x > last[0], above)
     for kx, ky in knots:
         out = out.when(x == kx, F.lit(ky))
     for a, b in zip(knots, knots[1:]):

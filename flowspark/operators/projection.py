@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import ordered_sum
 
+BLOCK = 256
+
 
 def _order(keys: list[str]) -> Window:
     return Window.partitionBy(*keys).orderBy("timestep")
@@ -50,21 +52,30 @@ def rolling_sum(dense: DataFrame, keys: list[str], value: str, window: int, init
     return rows.withColumn(out, ordered_sum(F.concat(before, "__got"))).drop("__got")
 
 
-def recurrence(dense: DataFrame, keys: list[str], facts: list[str], initial: list[float], update: Callable[[list[Column], Column], list[Column]], output: int, out: str) -> DataFrame:
+def recurrence(dense: DataFrame, keys: list[str], facts: list[str] | None, initial: list[float], update: Callable[[list[Column], Column], list[Column]], output: int | Callable[[list[Column]], Column], out: str) -> DataFrame:
     """A finite recurrence: at each step all slots are updated together from the slots before and the step's facts.
 
-    One fold over a key's ordered array gives the outputs of all its steps; the array is that key's series alone.
+    One fold over a key's ordered array gives the outputs of all its steps; the array is that key's series alone. Outputs
+    are gathered in blocks of BLOCK steps, so that a series of T steps copies T * BLOCK + (T / BLOCK)**2 of them, not T**2.
+    The result has keys, timestep and out; with facts None it has every column of dense, and update may read any of them.
     """
-    size = len(initial)
-    names = [f"s{k}" for k in range(size)]
-    step = F.struct("timestep", *facts) if facts else F.struct("timestep")
-    rows = dense.groupBy(*keys).agg(F.array_sort(F.collect_list(step)).alias("__steps"))
-    start = F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(initial, names)], F.array().cast("array<struct<timestep:bigint,value:double>>").alias("out"))
+    names = [f"s{k}" for k in range(len(initial))]
+    read = [c for c in dense.columns if c not in keys and c != "timestep"] if facts is None else facts
+    rows = dense.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("timestep", *[F.col(f"`{c}`") for c in read]))).alias("__steps"))
+    told = output if callable(output) else lambda slots: slots[output]
+    slots = [F.lit(float(v)).alias(n) for v, n in zip(initial, names)]
 
-    def fold(state: Column, x: Column) -> Column:
+    def step(state: Column, x: Column) -> Column:
         new = update([state[n] for n in names], x)
-        one = F.struct(x["timestep"].alias("timestep"), new[output].alias("value"))
-        return F.struct(*[v.cast("double").alias(n) for v, n in zip(new, names)], F.concat(state["out"], F.array(one)).alias("out"))
-
-    folded = rows.select(*keys, F.explode(F.aggregate("__steps", start, fold, lambda s: s["out"])).alias("__x"))
-    return folded.select(*keys, F.col("__x.timestep").alias("timestep"), F.col("__x.value").alias(out))
+        return F.struct(*[v.cast("double").alias(n) for v, n in zip(new, names)], F.concat(state["out"], F.array(told(new).cast("double"))).alias("out"))
+
+    def block(state: Column, steps: Column) -> Column:
+        start = F.struct(*[state[n].alias(n) for n in names], F.array().cast("array<double>").alias("out"))
+        ended = F.transform(F.array(F.aggregate(steps, start, step)), lambda r: F.struct(*[r[n].alias(n) for n in names], F.concat(state["out"], F.array(r["out"])).alias("out")))
+        return ended[0]  # an array of one binds the block's end, which is then used for each of its fields
+
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil((F.size("__steps") - 1) / BLOCK).cast("int")), lambda k: F.slice("__steps", k * BLOCK + 1, BLOCK))
+    outs = F.flatten(F.aggregate(blocks, F.struct(*slots, F.array().cast("array<array<double>>").alias("out")), block, lambda s: s["out"]))
+    folded = rows.select(*keys, "__steps", outs.alias("__outs")).select(*keys, F.inline(F.arrays_zip("__steps", "__outs")))
+    kept = ["timestep", *read] if facts is None else ["timestep"]
+    return folded.select(*keys, *[F.col("__steps").getField(c).alias(c) for c in kept], F.col("__outs").alias(out))

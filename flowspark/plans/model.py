@@ -461,6 +461,12 @@ class Model:
         return replace(self, document=document, rules=rules)
 
 
+    def with_forcings(self, values: Mapping[str, Mapping[int, float]]) -> "Model":
+        """A model whose named forcings have these values by timestep; a step without one has no number, and a run that reads it fails."""
+        new = {k: tuple(float(v.get(t, math.nan)) for t in range(self.first, self.last + 1)) for k, v in values.items() if k in self.forcings}
+        return replace(self, forcings={**self.forcings, **new})
+
+
 class Archive:
     """Models by digest; inserting one twice changes nothing."""
 

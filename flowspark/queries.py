@@ -535,6 +535,75 @@ def basin(last: int = 119, closed: bool = False) -> Model:
     })
 
 
+def _document(finite: list[str], edges: list[tuple[str, str]], last: int, quantum: float, stock: float, rules: list[dict], bindings: list[tuple[str, str, str]], inputs: list[tuple[str, str, str]] = (), projections: list[tuple[dict, dict]] = (), forcings: dict[str, list[float]] | None = None, tables: list[dict] = ()) -> Model:
+    """A model of one substance, water, with daily steps and the same stock in each compartment."""
+    return Model.from_document({
+        "document_version": "v1", "versions": {k: "v1" for k in ("rule_ir", "interpreter", "numerical_semantics", "canonical_encoding")},
+        "finite_compartments": finite, "boundary_accounts": ["outside"], "connections": [{"source": a, "target": b} for a, b in edges], "substances": ["water"],
+        "initial_stocks": [{"compartment": c, "amounts": [{"substance": "water", "amount": stock}]} for c in finite],
+        "calendar": {"origin_unix_seconds": 0, "timestep_seconds": 86400}, "horizon": {"first": 0, "last": last},
+        "projections": {"specifications": [p for p, _ in projections], "initial_states": [s for _, s in projections]},
+        "forcings": [{"id": n, "horizon": {"first": 0, "last": last}, "values": v} for n, v in (forcings or {}).items()], "interpolation_tables": list(tables),
+        "rules": rules, "transfer_bindings": [{"compartment": c, "substance": "water", "branch": b, "destination": d} for c, b, d in bindings],
+        "input_bindings": [{"compartment": c, "substance": "water", "input": n, "value_kind": "scalar", "source": {"kind": "forcing", "forcing": {"id": f}}} for c, n, f in inputs],
+        "units": [{"substance": "water", "unit": "m3", "quantum": quantum}],
+    })
+
+
+def chain(length: int, last: int) -> Model:
+    """c000 -> c001 -> ... -> outside: the first releases a constant, every other what came in a step before."""
+    names = [f"c{k:03d}" for k in range(length)]
+    lags = [_projection(f"late-{c}", {"kind": "bounded_lag", "source": _fact_source("incoming", c), "steps": 1}, [1.0]) for c in names[1:]]
+    rules = [_rule(c, Expr("projection", name=f"late-{c}", declared="extensive") if k else lit(2), {"kind": "release_all", "branch": "on"}) for k, c in enumerate(names)]
+    edges = list(zip(names, [*names[1:], "outside"]))
+    return _document(names, edges, last, 0.5, 1000.0, rules, [(a, "on", b) for a, b in edges], projections=lags)
+
+
+def published_sweep(last: int = 2190) -> Model:
+    """The published benchmark's model: 50 compartments without connections, 20 forcings, one rule that retains all, one parameter."""
+    names = [f"basin-{k:02d}" for k in range(50)]
+    return _document(names, [], last, 1e-6, 1.0, [_rule(names[0], param("release-coefficient"), {"kind": "retain_all"}, **{"release-coefficient": 0.2})], [], forcings={f"forcing-{k:02d}": [float(k)] * (last + 1) for k in range(20)})
+
+
+def hydrology(without: tuple[str, ...] = ()) -> Model:
+    """Seven compartments that each release to the outside by a rule of another kind: recurrence, lag, Muskingum routing (which reads
+    its own past), table lookup, minimum of inputs, a policy that chooses, and a shared demand."""
+    scalar = lambda n: Expr("input", name=n, declared="scalar")
+    state = lambda n, k: {"reference": {"id": n, "value_kind": "scalar"}, "source": {"kind": "previous_state", "index": k, "value_kind": "extensive"}}
+    fact = lambda n, way, c: {"reference": {"id": n, "value_kind": "scalar"}, "source": _fact_source(way, c)}
+    parameters = lambda *names: [{"id": n, "value_kind": "scalar"} for n in names]
+    past = lambda n: Expr("projection", name=n, declared="extensive")
+    kept = multiply(param("linear-coefficient"), scalar("storage"))
+    store = {"kind": "finite_recurrence", "state_kinds": ["extensive"] * 2, "inputs": [state("storage", 0)], "parameters": parameters("linear-coefficient"), "updates": [_wrap(subtract(scalar("storage"), kept)), _wrap(kept)], "output_index": 1}
+    weights = ("muskingum-c0", "muskingum-c1", "muskingum-c2")
+    parts = [multiply(param(w), x) for w, x in zip(weights, (scalar("inflow"), past("inflow-before"), past("outflow-before")))]
+    routed = {"kind": "finite_recurrence", "state_kinds": ["extensive"], "inputs": [fact("inflow", "incoming", "muskingum")], "parameters": parameters(*weights), "updates": [_wrap(add(add(parts[0], parts[1]), parts[2]))], "output_index": 0}
+    lag = lambda way, c, n: {"kind": "bounded_lag", "source": _fact_source(way, c), "steps": n}
+    projections = [
+        ("linear-reservoir", _projection("linear-reservoir-state", store, [8.0, 0.0])), ("lag", _projection("travel-time-lag", lag("incoming", "lag", 2), [3.0, 2.0])),
+        ("muskingum", _projection("inflow-before", lag("incoming", "muskingum", 1), [4.0])), ("muskingum", _projection("outflow-before", lag("outgoing", "muskingum", 1), [2.0])),
+        ("muskingum", _projection("muskingum-routed", routed, [0.0])),
+    ]
+    chosen = select(compare("greater_than_or_equal", scalar("policy-storage"), param("flood-threshold")), param("flood-release"), param("conservation-release"))
+    rules = {
+        "muskingum": (past("muskingum-routed"), dict(zip(weights, (0.4, 0.3, 0.3)))),
+        "lag": (past("travel-time-lag"), {}),
+        "linear-reservoir": (past("linear-reservoir-state"), {"linear-coefficient": 0.25}),
+        "evaporation": (table_lookup("evaporation-by-temperature", forcing("air-temperature")), {}),
+        "seepage": (minimum(scalar("seepage-available"), maximum(lit(0), multiply(param("seepage-conductance"), scalar("hydraulic-head")))), {"seepage-conductance": 0.5}),
+        "reservoir-policy": (clamp(chosen, lit(0), scalar("policy-available")), {"flood-threshold": 50.0, "flood-release": 8.0, "conservation-release": 3.0}),
+        "demand": (minimum(forcing("requested-demand"), divide(scalar("demand-available"), param("delivery-period"))), {"delivery-period": 2.0}),
+    }
+    series = {"air-temperature": [0.0, 10.0, 20.0], "seepage-available": [10.0] * 3, "hydraulic-head": [4.0, 6.0, 8.0], "policy-storage": [40.0, 60.0, 45.0], "policy-available": [10.0] * 3, "requested-demand": [6.0, 8.0, 10.0], "demand-available": [20.0] * 3}
+    inputs = [("seepage", "seepage-available"), ("seepage", "hydraulic-head"), ("reservoir-policy", "policy-storage"), ("reservoir-policy", "policy-available"), ("demand", "demand-available")]
+    curve = {"id": "evaporation-by-temperature", "numerical_semantics_version": "v1", "boundary_policy": "clamp_to_endpoint", "abscissae": [0.0, 10.0, 20.0], "ordinates": [1.0, 2.0, 3.0]}
+    own = [c for c in rules if c not in without]
+    return _document(
+        own, [(c, "outside") for c in own], 2, 1e-6, 100.0, [_rule(c, rules[c][0], {"kind": "release_all", "branch": f"{c}-out"}, **rules[c][1]) for c in own], [(c, f"{c}-out", "outside") for c in own],
+        [(c, n, n) for c, n in inputs if c in own], [p for c, p in projections if c in own], series, [curve],
+    )
+
+
 _CURVE = "CASE WHEN x > 8 THEN 4::DOUBLE WHEN x = 0 THEN 0::DOUBLE WHEN x = 4 THEN 1::DOUBLE WHEN x = 8 THEN 4::DOUBLE WHEN x < 4 THEN 0::DOUBLE + ((x - 0) / 4::DOUBLE) * 1::DOUBLE ELSE 1::DOUBLE + ((x - 4) / 4::DOUBLE) * 3::DOUBLE END"
 
 
