@@ -62,6 +62,20 @@ def ranged(transfers: DataFrame, direction: str, endpoint: str, substance: str,
     return out.select("timestep", count.alias("count"), (count.cast("double") * F.lit(quantum)).alias("value"), "presence")
 
 
+def ranged_runs(transfers: DataFrame, runs: DataFrame, direction: str, endpoint: str, substance: str, horizon: tuple[int, int], read: tuple[int, int], quantum: float | None, modelled: bool = True) -> DataFrame:
+    """The same for each run of runs (run_id): run_id, timestep, count, value, presence. A run without transfers is dry, not absent."""
+    if read[1] < read[0]:
+        raise ValueError("a range ends before it begins")
+    if read[1] - read[0] + 1 > MAX_RANGE:
+        raise ValueError(f"a range has at most {MAX_RANGE} steps")
+    steps = F.explode(F.sequence(F.lit(read[0]).cast("long"), F.lit(read[1]).cast("long"))).alias("timestep")
+    found = facts(transfers, direction, substance, endpoint).select("run_id", "timestep", "count")
+    state = presence(F.lit(modelled), F.col("timestep"), F.lit(horizon[0]), F.lit(horizon[1]))
+    out = runs.select("run_id", steps).join(found, ["run_id", "timestep"], "left").withColumn("presence", state)
+    count = F.when(F.col("presence") == PRESENT, F.coalesce("count", F.lit(0)))
+    return out.select("run_id", "timestep", count.alias("count"), (count.cast("double") * F.lit(quantum)).alias("value"), "presence")
+
+
 def instant_of(timestep: Column, origin: int, step: int) -> Column:
     """Unix seconds of a timestep."""
     return F.lit(origin).cast("long") + timestep * F.lit(step).cast("long")
