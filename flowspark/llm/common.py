@@ -63,6 +63,21 @@ def release(*tables: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+class Cuts:
+    """cut(), for tables that are released together when what follows from them is cut itself."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.tables.append(cut(df))
+        return self.tables[-1]
+
+    def release(self) -> None:
+        release(*self.tables)
+        self.tables = []
+
+
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """df marked for broadcast if it is counted to have at most so many rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Texts, chain, cut, join_counted, mix, pieces, release, signed, small
+from .common import U64, Cuts, Texts, chain, cut, join_counted, mix, pieces, release, signed, small
 from .components import components
 
 SHINGLE = 5
@@ -326,9 +326,10 @@ def link(docs: DataFrame, percent: int = 80, text: str = "text", key: str = "doc
     """One row for each row of docs: doc_id, n_shingles, component_id, kept."""
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signs = cut(base.mapInArrow(_sign, "doc_id long, n long, class long, sig binary"))
+    cuts = Cuts()
     linked = signs.where("n > 0 AND doc_id IS NOT NULL")
     heads = linked.groupBy("class").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
-    copied = cut(heads.where("copies > 1").select("class", "head"))
+    copied = cuts(heads.where("copies > 1").select("class", "head"))
     if copied.count() <= BROADCAST_ROWS:
         copied = F.broadcast(copied)
     alone = linked.join(copied, "class", "left").where("head IS NULL OR head = doc_id").select("class", "doc_id", "n", "sig")
@@ -338,31 +339,37 @@ def link(docs: DataFrame, percent: int = 80, text: str = "text", key: str = "doc
     shared = posted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     posted = posted.join(shared, "token").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own")).where(F.size("own") >= of_posted)
     prefix = F.slice("own", 1, F.size("own") - F.lit(of_posted - 1))
-    prefixes = cut(posted.select("class", F.transform(prefix, lambda x: x["token"]).alias("tokens")))
-    postings = cut(prefixes.select("class", F.explode("tokens").alias("token")).join(prefixes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "token"))
-    classes = cut(alone.dropDuplicates(["class"]).join(prefixes.select("class"), "class").select("class", "doc_id", "n", "sig"))
+    prefixes = cuts(posted.select("class", F.transform(prefix, lambda x: x["token"]).alias("tokens")))
+    postings = cuts(prefixes.select("class", F.explode("tokens").alias("token")).join(prefixes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "token"))
+    classes = cuts(alone.dropDuplicates(["class"]).join(prefixes.select("class"), "class").select("class", "doc_id", "n", "sig"))
     wanted = classes.join(postings.select("class").distinct(), "class", "left_semi").select("doc_id")
-    sets = cut(base.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "class long, shingles binary").dropDuplicates(["class"]))
+    sets = cuts(base.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "class long, shingles binary").dropDuplicates(["class"]))
 
-    links = cut(_confirmed(_stars(postings, classes, percent, of_all), sets, percent))
-    labels = cut(components(links).select(F.col("u").alias("class"), F.col("root").alias("label")))
-    links = links.unionAll(cut(_across(postings, classes, sets, labels, percent, of_all)))
-    labels = cut(components(links).select(F.col("u").alias("class"), F.col("root").alias("label")))
+    links = cuts(_confirmed(_stars(postings, classes, percent, of_all), sets, percent))
+    labels = cuts(components(links).select(F.col("u").alias("class"), F.col("root").alias("label")))
+    links = links.unionAll(cuts(_across(postings, classes, sets, labels, percent, of_all)))
+    labels = cuts(components(links).select(F.col("u").alias("class"), F.col("root").alias("label")))
 
     named = classes.select("class", F.col("doc_id").alias("head")).join(labels, "class").select("class", "label", "head")
     roots = classes.select(F.col("class").alias("label"), F.col("doc_id").alias("head"))
     least = named.select("label", "head").unionAll(roots.join(named.select("label").distinct(), "label", "left_semi")).groupBy("label").agg(F.min("head").alias("component"))
     joined = named.select("class", "label").unionAll(named.select(F.col("label").alias("class"), "label").distinct()).join(least, "label").select("class", "component")
     known = heads.where("copies > 1").join(joined, "class", "full").select("class", F.coalesce("component", "head").alias("component"))
+    known = cut(known)
+    cuts.release()
     out = signs.select("doc_id", "n", "class").join(known, "class", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNull(), None).otherwise(component)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    out._cut_tables = [signs, known]
+    return out
 
 
 def dedupe(docs: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with one row of each component; rows without a key stay."""
-    found = cut(link(docs, percent, text, key))
+    linked = link(docs, percent, text, key)
+    found = cut(linked)
+    release(*linked._cut_tables)
     dropped = found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__dropped"))
     out = docs.join(dropped, docs[key] == F.col("__dropped"), "left_anti")
     twice = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("__twice"))
