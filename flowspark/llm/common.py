@@ -83,7 +83,7 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int, least: int = 1000, most: int = 100_000) -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, key: str | list[str], total: int, least: int = 1000, most: int = 100_000) -> DataFrame:
     """rows joined to table, which has one row a key, with n: how many of the total rows have the key (n goes).
 
     Keys with at least max(least, total / most) rows are hot. There are at most `most` of them, so they are broadcast, and
@@ -91,7 +91,7 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int, least:
     """
     hot = F.col("n") >= max(least, total / most)
     tried = rows.join(F.broadcast(table.where(hot).withColumnRenamed("n", "__n")), key, "left")
-    added = [c for c in table.columns if c not in (key, "n")]
+    added = [c for c in table.columns if c != "n" and c not in ([key] if isinstance(key, str) else key)]
     found = tried.where("__n IS NOT NULL").drop("__n")
     rest = tried.where("__n IS NULL").drop("__n", *added).join(table.where(~hot).drop("n"), key)
     return found.unionByName(rest)

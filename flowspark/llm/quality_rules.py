@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import U64, Texts, chain, cut, mix, pieces, signed, without
+from .common import U64, Texts, chain, cut, join_counted, mix, pieces, signed, without
 
 SYMBOLS = b"#*$%&|<>"
 #: Columns the operator makes; columns of these names in the input are dropped first.
@@ -116,11 +116,11 @@ def _line_rows(text: str, host: str):
 
 
 def frequent_lines(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host: str = "source") -> DataFrame:
-    """(host, line): hashes of the lines above the limit. Line 0 stands for the host's documents themselves."""
+    """(host, line, n): hashes of the lines above the limit, and in how many documents they are. Line 0 stands for the host's documents themselves."""
     rows = docs.select(F.col(text).alias("text"), F.col(host).cast("string").alias("host")).mapInArrow(_line_rows("text", "host"), "host long, line long, doc long")
     counts = rows.distinct().groupBy("host", "line").agg(F.count("*").alias("docs")).where((F.col("docs") > limits.min_docs) | (F.col("line") == 0))
     total = counts.where("line = 0").select("host", F.col("docs").alias("of"))
-    return counts.where("line <> 0").join(total, "host").where(F.col("docs") > F.greatest(F.lit(limits.min_docs), F.col("of") * F.lit(limits.share))).select("host", "line")
+    return counts.where("line <> 0").join(total, "host").where(F.col("docs") > F.greatest(F.lit(limits.min_docs), F.col("of") * F.lit(limits.share))).select("host", "line", F.col("docs").alias("n"))
 
 
 _STATS = "q_words long, q_word_chars long, q_symbols long, q_dup_lines long, q_repeat_words long, q_removed_words long"
@@ -156,20 +156,38 @@ def _strip(text: str, host: str, names: list[str], removed):
             for part in pieces(batch, text):
                 texts = Texts.of(part.column(text))
                 lines = lines_of(texts)
-                hit = np.flatnonzero(gone(host_keys(part.column(host))[lines.owner], lines.normal))
-                keep = np.ones(len(texts.buf), dtype=bool)
-                stop = texts.offsets[lines.owner + 1]
-                for i in hit:
-                    keep[lines.starts[i] : min(lines.ends[i] + 1, stop[i])] = False  # with its line feed
-                data = texts.buf[keep]
-                offs = np.concatenate([[0], np.cumsum(keep)])[texts.offsets]
-                new = pa.Array.from_buffers(pa.large_utf8(), len(texts), [None, pa.py_buffer(offs.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.string())
-                new = pc.if_else(part.column(text).is_null(), pa.scalar(None, pa.string()), new)
-                yield pa.RecordBatch.from_arrays([new if c == text else part.column(c) for c in names], names=names)
+                yield _stripped(part, text, names, texts, lines, gone(host_keys(part.column(host))[lines.owner], lines.normal))
 
     return run
 
 
+def _strip_listed(text: str, names: list[str]):
+    """The same for rows that carry their lines to remove (column lines)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, text):
+                texts, listed = Texts.of(part.column(text)), part.column("lines")
+                lines = lines_of(texts)
+                sizes = np.asarray(pc.fill_null(pc.list_value_length(listed), 0)).astype(np.int64)
+                wanted = chain([np.repeat(np.arange(len(sizes)), sizes).astype(U64), np.asarray(listed.flatten()).astype(np.int64).view(U64)])
+                yield _stripped(part, text, names, texts, lines, np.isin(chain([lines.owner.astype(U64), lines.normal]), wanted))
+
+    return run
+
+
+def _stripped(part: pa.RecordBatch, text: str, names: list[str], texts: Texts, lines, hit: np.ndarray) -> pa.RecordBatch:
+    keep = np.ones(len(texts.buf), dtype=bool)
+    stop = texts.offsets[lines.owner + 1]
+    for i in np.flatnonzero(hit):
+        keep[lines.starts[i] : min(lines.ends[i] + 1, stop[i])] = False  # with its line feed
+    data = texts.buf[keep]
+    offs = np.concatenate([[0], np.cumsum(keep)])[texts.offsets]
+    new = pa.Array.from_buffers(pa.large_utf8(), len(texts), [None, pa.py_buffer(offs.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.string())
+    new = pc.if_else(part.column(text).is_null(), pa.scalar(None, pa.string()), new)
+    return pa.RecordBatch.from_arrays([new if c == text else part.column(c) for c in names], names=names)
+
+
 class _Lookup:
     """Membership in a broadcast list of (host, line) pairs."""
 
@@ -219,7 +237,8 @@ def _small(frequent: DataFrame, limits: Limits) -> np.ndarray | None:
 def _joined_losses(docs: DataFrame, frequent: DataFrame, text: str, host: str) -> DataFrame:
     """(host, doc) hashes with the words in removed lines and the lines' hashes, by a shuffled join."""
     pairs = docs.select(F.col(text).alias("text"), F.col(host).cast("string").alias("host")).mapInArrow(_pair_rows("text", "host"), "host long, doc long, line long, n long")
-    return pairs.distinct().join(frequent.hint("merge"), ["host", "line"]).groupBy("host", "doc").agg(F.sum("n").alias("lost"), F.collect_set("line").alias("lines"))
+    total = frequent.agg(F.sum("n")).first()[0] or 0
+    return join_counted(pairs.distinct(), frequent, ["host", "line"], total).groupBy("host", "doc").agg(F.sum("n").alias("lost"), F.collect_set("line").alias("lines"))
 
 
 def _keys(text: str, host: str, names: list[str]):
@@ -270,23 +289,3 @@ def clean(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host:
 
 def _passes(limits: Limits):
     return (F.col("q_words") >= limits.min_words) & (100 * F.col("q_repeat_words") <= limits.max_repeat_percent * F.col("q_words")) & (100 * F.col("q_removed_words") <= limits.max_removed_percent * F.col("q_words"))
-
-
-def _strip_listed(text: str, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, text):
-                out = []
-                for value, listed in zip(part.column(text).to_pylist(), part.column("lines").to_pylist(), strict=True):
-                    if value is not None and listed:
-                        *most, last = value.split("\n")
-                        kept = []
-                        for line in [*(x + "\n" for x in most), last]:
-                            own = lines_of(Texts.of(pa.array([line]))).normal
-                            if not len(own) or int(signed(own)[0]) not in listed:
-                                kept.append(line)
-                        value = "".join(kept)
-                    out.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else part.column(c) for c in names], names=names)
-
-    return run
