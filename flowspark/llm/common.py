@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Texts are worked on in pieces of about this many bytes, so that temporary arrays stay small.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 _WINDOW = 1 << 20
 
 

@@ -126,29 +126,37 @@ def frequent_lines(docs: DataFrame, limits: Limits = Limits(), text: str = "text
 _STATS = "q_words long, q_word_chars long, q_symbols long, q_dup_lines long, q_repeat_words long, q_removed_words long"
 
 
+_FIGURES = [x.split()[0] for x in _STATS.split(", ")]
+
+
+def _figures(texts: Texts, lines, hit: np.ndarray) -> list[np.ndarray]:
+    """The figures of each text, in the order of _STATS; hit: whether a line is above the limit."""
+    words = texts.words()
+    inside = ~common.IS_SPACE[texts.buf]
+    n_lines = np.bincount(lines.owner, minlength=len(texts))
+    fresh = np.bincount(lines.owner[distinct(lines.owner, lines.exact)], minlength=len(texts))
+    lost = np.bincount(lines.owner, weights=lines.n_words * hit, minlength=len(texts))
+    out = [words.counts(), texts.sums(inside & ((texts.buf & 0xC0) != 0x80)), texts.sums(_SYMBOL[texts.buf]), n_lines - fresh, _repeat_words(words), lost]
+    return [np.asarray(x).astype(np.int64) for x in out]
+
+
 def _stats(text: str, host: str, names: list[str], removed):
-    """removed(hosts, lines) -> bool for each line; None if that is decided later."""
+    """removed(hosts, lines) -> bool for each line; _none if that is decided later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = removed()
         for batch in batches:
             for part in pieces(batch, text):
                 texts = Texts.of(part.column(text))
-                words = texts.words()
                 lines = lines_of(texts)
-                inside = ~common.IS_SPACE[texts.buf]
-                n_lines = np.bincount(lines.owner, minlength=len(texts))
-                fresh = np.bincount(lines.owner[distinct(lines.owner, lines.exact)], minlength=len(texts))
-                hit = gone(host_keys(part.column(host))[lines.owner], lines.normal)
-                lost = np.bincount(lines.owner, weights=lines.n_words * hit, minlength=len(texts)).astype(np.int64)
-                cols = [words.counts(), texts.sums(inside & ((texts.buf & 0xC0) != 0x80)), texts.sums(_SYMBOL[texts.buf]), n_lines - fresh, _repeat_words(words), lost]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(np.asarray(c, dtype=np.int64)) for c in cols], names=[*names, "q_words", "q_word_chars", "q_symbols", "q_dup_lines", "q_repeat_words", "q_removed_words"])
+                figures = _figures(texts, lines, gone(host_keys(part.column(host))[lines.owner], lines.normal))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(x) for x in figures], names=[*names, *_FIGURES])
 
     return run
 
 
-def _strip(text: str, host: str, names: list[str], removed):
-    """The rows with their texts less the removed lines; nothing else of a text changes."""
+def _cleaned(text: str, host: str, names: list[str], removed, limits: Limits):
+    """The rows that pass, with their texts less the removed lines; nothing else of a text changes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = removed()
@@ -156,7 +164,9 @@ def _strip(text: str, host: str, names: list[str], removed):
             for part in pieces(batch, text):
                 texts = Texts.of(part.column(text))
                 lines = lines_of(texts)
-                yield _stripped(part, text, names, texts, lines, gone(host_keys(part.column(host))[lines.owner], lines.normal))
+                hit = gone(host_keys(part.column(host))[lines.owner], lines.normal)
+                figures = dict(zip(_FIGURES, _figures(texts, lines, hit), strict=True))
+                yield _stripped(part, text, names, texts, lines, hit).filter(pa.array(_passes(limits, figures)))
 
     return run
 
@@ -278,14 +288,14 @@ def clean(docs: DataFrame, limits: Limits = Limits(), text: str = "text", host:
     names, fields = list(docs.columns), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     if small is not None:
         removed = _Lookup(docs.sparkSession.sparkContext.broadcast(small))
-        kept = docs.mapInArrow(_stats(text, host, names, removed), f"{fields}, {_STATS}").where(_passes(limits)).select(*names)
-        return kept.mapInArrow(_strip(text, host, names, removed), fields)
+        return docs.mapInArrow(_cleaned(text, host, names, removed, limits), fields)
     lost = _joined_losses(docs, frequent, text, host).withColumnsRenamed({"host": "__host", "doc": "__doc"})
     out = docs.mapInArrow(_stats(text, host, names, _none), f"{fields}, {_STATS}")
     out = out.mapInArrow(_keys(text, host, out.columns), f"{fields}, {_STATS}, __host long, __doc long").join(lost, ["__host", "__doc"], "left")
-    out = out.withColumn("q_removed_words", F.coalesce("lost", F.lit(0)).cast("long")).where(_passes(limits)).select(*names, "lines")
+    out = out.withColumn("q_removed_words", F.coalesce("lost", F.lit(0)).cast("long")).where(_passes(limits, {n: F.col(n) for n in _FIGURES})).select(*names, "lines")
     return out.mapInArrow(_strip_listed(text, names), fields)
 
 
-def _passes(limits: Limits):
-    return (F.col("q_words") >= limits.min_words) & (100 * F.col("q_repeat_words") <= limits.max_repeat_percent * F.col("q_words")) & (100 * F.col("q_removed_words") <= limits.max_removed_percent * F.col("q_words"))
+def _passes(limits: Limits, x):
+    """Of figures by name: columns, or arrays."""
+    return (x["q_words"] >= limits.min_words) & (100 * x["q_repeat_words"] <= limits.max_repeat_percent * x["q_words"]) & (100 * x["q_removed_words"] <= limits.max_removed_percent * x["q_words"])
