@@ -176,28 +176,43 @@ def interpolate(x: Column, knots: list[tuple[float, float]], policy: str) -> Col
     return out
 
 
-def interpolate_join(values, knots, x: str, table: str = "table_id"):
-    """values with y, for tables of any size: a join on the segment that holds x, found by one window over the knots.
+def interpolate_join(values, knots, x: str, table: str = "table_id", ranges: int = 64, salts: int = 16):
+    """values with y, for tables of any size: each row meets the two knots around it, without a range join.
 
-    values and knots share the column table; knots has x, y, policy. Rows and knots are ordered together, so each row
-    sees the last knot at or before it and the first after it, without a range join. y is NULL where policy rejects.
+    values and knots share the column table; knots has x, y, policy. A table is cut at up to `ranges` of its knots, rows are
+    dealt over its ranges and by `salts`, so neither a single table nor a single range is one task, and the rows and knots of
+    each part are ordered together by one window: a row sees the last knot at or before it and the first after it. y is
+    NULL where policy rejects, and for tables that have no knots. Cuts and ends are a row a table.
     """
     from pyspark.sql import Window
 
-    own = values.withColumn("__x", F.col(x)).withColumn("__row", F.monotonically_increasing_id())
-    marks = knots.select(F.col(table), F.col("x").alias("__x"), F.struct("x", "y").alias("__knot"), "policy")
-    ends = knots.groupBy(table).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("k"), F.first("policy").alias("__policy"))
-    ends = ends.select(table, "__policy", F.expr("k[0]").alias("__a"), F.expr("k[1]").alias("__b"), F.expr("k[size(k)-2]").alias("__c"), F.expr("k[size(k)-1]").alias("__d"))
-    both = own.unionByName(marks.drop("policy"), allowMissingColumns=True)
-    order = Window.partitionBy(table).orderBy("__x", F.col("__knot").isNull())
-    both = both.withColumn("__lo", F.last("__knot", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("__hi", F.first("__knot", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
-    rows = both.where("__row IS NOT NULL").join(ends, table)
+    sizes = knots.groupBy(table).agg(F.count("*").alias("__n"))
+    placed = knots.select(F.col(table), "x", "y", F.row_number().over(Window.partitionBy(table).orderBy("x")).alias("__k")).join(sizes, table)
+    edge = F.pmod(F.col("__k") - 1, F.greatest(F.lit(1), F.ceil(F.col("__n") / ranges))) == 0
+    pair = lambda where: F.max(F.when(where, F.struct("x", "y")))
+    ends = placed.groupBy(table).agg(
+        pair(F.col("__k") == 1).alias("__a"), pair(F.col("__k") == 2).alias("__b"), pair(F.col("__k") == F.col("__n") - 1).alias("__c"), pair(F.col("__k") == F.col("__n")).alias("__d"),
+        F.array_sort(F.collect_list(F.when(edge, F.col("x")))).alias("__cuts"),
+    )
+    ends = ends.join(knots.groupBy(table).agg(F.first("policy").alias("__policy")), table)
+    part = lambda v: F.size(F.filter("__cuts", lambda c: c <= v))
+    own = values.withColumn("__x", F.col(x)).withColumn("__row", F.monotonically_increasing_id()).join(ends, table, "left")
+    own = own.withColumn("__part", F.greatest(part(F.col("__x")), F.lit(1))).withColumn("__salt", F.pmod(F.xxhash64("__row"), F.lit(salts)))
+    # a knot at which a range begins also ends the range before
+    at = part(F.col("x"))
+    marks = placed.join(ends.select(table, "__cuts"), table)
+    both = F.when(edge & (F.col("__k") > 1), F.array(at, at - 1)).otherwise(F.array(at))
+    marks = marks.select(table, F.col("x").alias("__x"), F.struct("x", "y").alias("__knot"), F.explode(both).alias("__part"))
+    marks = marks.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    rows = own.unionByName(marks, allowMissingColumns=True)
+    order = Window.partitionBy(table, "__part", "__salt").orderBy("__x", F.col("__knot").isNull())
+    rows = rows.withColumn("__lo", F.last("__knot", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("__hi", F.first("__knot", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
     v = F.col("__x")
     segment = lambda a, b: F.when(v == F.col(f"{a}.x"), F.col(f"{a}.y")).otherwise(F.col(f"{a}.y") + ((v - F.col(f"{a}.x")) / (F.col(f"{b}.x") - F.col(f"{a}.x"))) * (F.col(f"{b}.y") - F.col(f"{a}.y")))
     outside = lambda end, a, b: F.when(F.col("__policy") == "clamp_to_endpoint", F.col(f"{end}.y")).when(F.col("__policy") == "linear_extrapolate", segment(a, b))
     y = F.when(v < F.col("__a.x"), outside("__a", "__a", "__b")).when(v > F.col("__d.x"), outside("__d", "__c", "__d")).when(v == F.col("__d.x"), F.col("__d.y")).otherwise(segment("__lo", "__hi"))
-    return rows.withColumn("y", y).select(*values.columns, "y")
+    return rows.where("__row IS NOT NULL").withColumn("y", y).select(*values.columns, "y")
 
 
 # Scalar twins, for rules that need a run's state step by step.

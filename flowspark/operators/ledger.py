@@ -49,26 +49,42 @@ def replay_timesteps(transfers: DataFrame, seeds: DataFrame | None = None) -> Da
     return rows.join(start, ["endpoint", "substance"], "left").withColumn("balance", F.col("balance") + F.coalesce("__start", F.lit(0))).drop("__start")
 
 
-def snapshots(transfers: DataFrame, spine: DataFrame) -> DataFrame:
-    """Balances at every timestep of the spine (run_id, timestep), for each cell that the run touches."""
+def snapshots(transfers: DataFrame, spine: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """Balances at every timestep of the spine (run_id, timestep), for each cell that the run touches, and with seeds each of theirs."""
     sums = signed_legs(transfers).groupBy(*CELL, "timestep").agg(F.sum("delta").alias("delta"))
-    cells = sums.select(*CELL).distinct().join(spine, "run_id")
+    cells = sums.select(*CELL).distinct() if seeds is None else _cells(sums, seeds, spine.select("run_id").distinct())
     order = Window.partitionBy(*CELL).orderBy("timestep").rowsBetween(Window.unboundedPreceding, 0)
-    return cells.join(sums, [*CELL, "timestep"], "left").withColumn("balance", F.sum(F.coalesce("delta", F.lit(0))).over(order)).drop("delta")
+    rows = cells.join(spine, "run_id").join(sums, [*CELL, "timestep"], "left").withColumn("balance", F.sum(F.coalesce("delta", F.lit(0))).over(order)).drop("delta")
+    return rows if seeds is None else _started(rows, seeds)
 
 
-def final_stock(transfers: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+def _cells(touched: DataFrame, seeds: DataFrame, runs: DataFrame) -> DataFrame:
+    """The cells that runs touch or that a seed names; seeds are a model's lists."""
+    return touched.select(*CELL).unionAll(runs.crossJoin(F.broadcast(seeds.select("endpoint", "substance"))).select(*CELL)).distinct()
+
+
+def _started(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    start = seeds.select("endpoint", "substance", F.col("count").alias("__start"))
+    return rows.join(start, ["endpoint", "substance"], "left").withColumn("balance", F.col("balance") + F.coalesce("__start", F.lit(0))).drop("__start")
+
+
+def final_stock(transfers: DataFrame, seeds: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """The balance of each cell when all is done; with seeds also of those that never move, of runs (or those with transfers)."""
     sums = signed_legs(transfers).groupBy(*CELL).agg(F.sum("delta").alias("balance"))
     if seeds is None:
         return sums
-    start = seeds.select("endpoint", "substance", F.col("count").alias("__start"))
-    return sums.join(start, ["endpoint", "substance"], "left").withColumn("balance", F.col("balance") + F.coalesce("__start", F.lit(0))).drop("__start")
+    runs = transfers.select("run_id").distinct() if runs is None else runs.select("run_id").distinct()
+    return _started(_cells(sums, seeds, runs).join(sums, list(CELL), "left").withColumn("balance", F.coalesce("balance", F.lit(0))), seeds)
 
 
 def overdrafts(transfers: DataFrame, seeds: DataFrame | None = None, finite: str = "source_kind = 'finite'") -> DataFrame:
     """Records after which a finite source's balance is negative; the first of a run is where it would stop."""
-    kinds = transfers.where(finite).select("run_id", "seq", F.col("source").alias("endpoint"), "substance")
-    return replay_records(transfers, seeds).where("balance < 0 AND delta < 0").join(kinds, ["run_id", "seq", "endpoint", "substance"], "left_semi")
+    debit = F.struct(F.col("source").alias("endpoint"), (-F.col("count")).alias("delta"), F.expr(finite).alias("__finite"))
+    credit = F.struct(F.col("target").alias("endpoint"), F.col("count").alias("delta"), F.lit(False).alias("__finite"))
+    legs = transfers.select("run_id", "seq", "timestep", "substance", F.inline(F.array(debit, credit)))
+    order = Window.partitionBy(*CELL).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = legs.withColumn("balance", F.sum("delta").over(order))
+    return (rows if seeds is None else _started(rows, seeds)).where("__finite AND balance < 0 AND delta < 0").drop("__finite")
 
 
 def conservation_totals(transfers: DataFrame) -> DataFrame:
@@ -76,11 +92,15 @@ def conservation_totals(transfers: DataFrame) -> DataFrame:
     return signed_legs(transfers).groupBy("run_id", "substance").agg(F.sum("delta").alias("net"), F.sum(F.abs("delta")).alias("moved"))
 
 
-def run_status(transfers: DataFrame, seals: DataFrame) -> DataFrame:
-    """complete with a seal that fits the log, seal_mismatch, or resumable with the last timestep reached."""
-    runs = transfers.groupBy("run_id").agg(F.count("*").alias("transfers"), F.max("timestep").alias("last_timestep"))
+def run_status(transfers: DataFrame, seals: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """complete with a seal that fits the log, seal_mismatch, or resumable with the last timestep reached. runs: those that
+    began, with or without transfers; else those with a transfer or a seal."""
+    found = transfers.groupBy("run_id").agg(F.count("*").alias("transfers"), F.max("timestep").alias("last_timestep"))
     sealed = seals.select("run_id", "final_timestep", "transfer_count")
-    out = runs.join(sealed, "run_id", "full").withColumn("transfers", F.coalesce("transfers", F.lit(0)))
+    out = found.join(sealed, "run_id", "full")
+    if runs is not None:
+        out = out.join(runs.select("run_id").distinct(), "run_id", "full")
+    out = out.withColumn("transfers", F.coalesce("transfers", F.lit(0)))
     fits = (F.col("transfer_count") == F.col("transfers")) & (F.coalesce("last_timestep", F.col("final_timestep")) <= F.col("final_timestep"))
     return out.withColumn("status", F.when(F.col("transfer_count").isNull(), "resumable").when(fits, "complete").otherwise("seal_mismatch"))
 

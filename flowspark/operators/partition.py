@@ -10,15 +10,24 @@ from ..functions.quantum import floor_count
 
 def split(rows: DataFrame, branches: list[tuple[str, Column]], quantum: Column, keep: list[str]) -> DataFrame:
     """keep, branch, amount and count for each branch with a count over 0; an array of structs is exploded, so one pass does all."""
+    return _counted(rows, branches, quantum, keep).where("count > 0")
+
+
+def _counted(rows: DataFrame, branches: list[tuple[str, Column]], quantum: Column, keep: list[str]) -> DataFrame:
     parts = [F.struct(F.lit(b).alias("branch"), amount.cast("double").alias("amount")) for b, amount in sorted(branches, key=lambda x: x[0])]
     out = rows.withColumn("__q", quantum).select(*keep, "__q", F.inline(F.array(*parts)))
-    return out.withColumn("count", floor_count(F.col("amount"), F.col("__q"))).drop("__q").where("count > 0")
+    return out.withColumn("count", floor_count(F.col("amount"), F.col("__q"))).drop("__q")
+
+
+def violations(rows: DataFrame, branches: list[tuple[str, Column]], quantum: Column, keep: list[str]) -> DataFrame:
+    """keep, branch, amount and violation of the branches that split() cannot move: amounts that are missing, negative, not finite or
+    above the largest count. Their rows have no transfer, so a caller that must not lose them reads these too."""
+    return _counted(rows, branches, quantum, keep).where("count IS NULL").select(*keep, "branch", "amount", F.lit("InvalidAmount").alias("violation"))
 
 
 def retain_all(rows: DataFrame, amount: Column, quantum: Column, keep: list[str]) -> DataFrame:
     """Nothing moves; amounts that are no amounts still show, as violations."""
-    bad = F.isnan(amount) | (amount < 0) | (F.abs(amount) == float("inf"))
-    return rows.where(bad).select(*keep, F.lit("InvalidAmount").alias("violation"))
+    return rows.where(floor_count(amount.cast("double"), quantum).isNull()).select(*keep, F.lit("InvalidAmount").alias("violation"))
 
 
 def release_all(rows: DataFrame, branch: str, amount: Column, quantum: Column, keep: list[str]) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .functions import numeric as N
 from .functions import quantum as Q
-from .operators import execute, ledger, partition, projection, series, sweep, validate
+from .operators import execute, ledger, partition, projection, runlog, series, sweep, validate
+from .plans import builders as B
 from .plans.expr import Expr, add, clamp, compare, divide, forcing, lit, maximum, minimum, multiply, param, power, select, subtract, table_lookup
 from .plans.model import Model
 from .sources import log
@@ -264,6 +265,77 @@ def resume_divergence(spark, sf_dir):
     return ledger.divergence(stored, moves)
 
 
+# logs as evidence
+
+
+@query(f"""WITH {_FLOW}, n AS (SELECT run_id, count(*)::BIGINT AS n, max(timestep) AS reached FROM flow GROUP BY run_id)
+SELECT run_id, CASE run_id WHEN 'y1993' THEN 'AlreadySealed' WHEN 'y1996' THEN 'SealTransferCount' WHEN 'y1997' THEN 'SealDigest' ELSE 'SealFinalTimestep' END AS violation FROM n WHERE run_id IN ('y1993', 'y1996', 'y1997', 'y1998')
+UNION ALL SELECT run_id, 'RecordAfterSeal' FROM flow WHERE run_id = 'y1994' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY seq) > (SELECT n - 2 FROM n WHERE run_id = 'y1994')""")
+def seal_verification(spark, sf_dir):
+    """Seals of the flow's runs: 1995 has none, 1994's stands two records before the end, and others are forged."""
+    moves = flow(spark, sf_dir)
+    digests = log.log_digests(moves)
+    run = F.col("run_id")
+    seals = digests.join(ledger.seal(moves, LAST).select("run_id", "final_timestep"), "run_id").where(run != "y1995")
+    seals = seals.select(
+        "run_id", F.when(run == "y1998", 10).otherwise(F.col("final_timestep")).cast("long").alias("final_timestep"),
+        (F.col("transfer_count") + F.when(run == "y1996", 1).when(run == "y1994", -2).otherwise(0)).alias("transfer_count"), F.when(run == "y1997", "0").otherwise(F.col("log_digest")).alias("log_digest"),
+    )
+    seals = seals.unionAll(seals.where(run == "y1993"))
+    begun = moves.select("run_id").distinct().select("run_id", F.lit("m").alias("model_digest"), F.lit("v1").alias("numerical_semantics"), F.lit("e").alias("endpoint"), F.lit("s").alias("substance"))
+    return runlog.log_violations(begun, moves, seals, digests=digests).select("run_id", "violation")
+
+
+@query(f"""WITH {_FLOW}, r AS (SELECT DISTINCT run_id FROM flow), c AS (SELECT target AS endpoint, substance, sum(count)::BIGINT AS count FROM flow GROUP BY ALL)
+SELECT run_id, 'ModelDigestMismatch' AS violation FROM r WHERE run_id = 'y1993' UNION ALL SELECT run_id, 'ModelArtifactNotFound' FROM r WHERE run_id = 'y1994' UNION ALL SELECT run_id, 'NumericalSemanticsMismatch' FROM r WHERE run_id = 'y1995'
+UNION ALL SELECT run_id, 'GenesisStocksMismatch' FROM r WHERE run_id = 'y1996' UNION ALL SELECT run_id, 'GenesisTopologyMismatch' FROM r WHERE run_id IN ('y1997', 'y1998')""")
+def genesis_mismatch(spark, sf_dir):
+    """Beginnings of the flow's runs, most of them not what their model says."""
+    moves = flow(spark, sf_dir, False)
+    cells = moves.groupBy(F.col("target").alias("endpoint"), "substance").agg(F.sum("count").alias("count"))
+    run = F.col("run_id")
+    runs = moves.select("run_id").distinct()
+    begun = runs.crossJoin(F.broadcast(cells)).select("run_id", F.when(run == "y1993", "other").otherwise("m").alias("model_digest"), F.when(run == "y1995", "v0").otherwise("v1").alias("numerical_semantics"), "endpoint", "substance", (F.col("count") + F.when((run == "y1996") & (F.col("substance") == "r"), 1).otherwise(0)).alias("count"))
+    begun = begun.where((run != "y1997") | (F.col("endpoint") != "mkt-building"))
+    begun = begun.withColumn("endpoint", F.when((run == "y1998") & (F.col("endpoint") == "mkt-building"), "mkt-none").otherwise(F.col("endpoint")))
+    held = runs.where(run != "y1994").withColumn("model_digest", F.lit("m"))
+    return runlog.genesis_violations(begun, cells, held).select("run_id", "violation")
+
+
+@query(f"""WITH {_FLOW}, e AS (SELECT run_id, max(timestep) AS last FROM flow GROUP BY run_id), d AS (SELECT run_id, min(seq) AS seq FROM flow JOIN e USING (run_id) WHERE timestep < last AND seq % 1000 = 7 AND run_id IN ('y1994', 'y1996') GROUP BY run_id)
+SELECT run_id, count(*)::BIGINT AS transfers, CASE WHEN count(d.seq) > 0 THEN min(d.seq) END AS differs FROM flow LEFT JOIN d USING (run_id) GROUP BY run_id""")
+def resume_replay(spark, sf_dir):
+    """Prefixes up to each run's last timestep, two of them altered in every thousandth record: whole logs in place of those that agree."""
+    moves = flow(spark, sf_dir)
+    ends = moves.groupBy("run_id").agg(F.max("timestep").alias("last"), F.count("*").alias("all"))
+    odd = (F.col("seq") % 1000 == 7) & F.col("run_id").isin("y1994", "y1996")
+    stored = moves.join(ends, "run_id").where("timestep < last").withColumn("count", F.col("count") + F.when(odd, 1).otherwise(0))
+    whole, differs = runlog.replaced(stored, moves)
+    kept = whole.groupBy("run_id").agg(F.count("*").alias("n"))
+    out = ends.join(kept, "run_id", "left").join(differs.withColumnRenamed("seq", "differs"), "run_id", "left")
+    return out.select("run_id", F.coalesce("n", "all").alias("transfers"), "differs")
+
+
+@query(f"""WITH {_LEGS}, r AS (SELECT run_id, max(timestep) AS last FROM flow GROUP BY run_id), c AS (SELECT DISTINCT endpoint, substance FROM legs UNION ALL SELECT 'mkt-none', 'z'),
+m AS (SELECT run_id, endpoint, substance, sum(delta)::BIGINT AS moved FROM legs WHERE timestep <= 40 GROUP BY ALL), s AS (SELECT run_id, endpoint, substance, CASE WHEN endpoint = 'mkt-none' THEN 'not_modelled' WHEN last >= 40 THEN 'present' ELSE 'absent' END AS presence, moved FROM r CROSS JOIN c LEFT JOIN m USING (run_id, endpoint, substance))
+SELECT run_id, endpoint, substance, presence, CASE WHEN presence = 'present' THEN 5 + coalesce(moved, 0) END::BIGINT AS balance FROM s""")
+def state_at(spark, sf_dir):
+    """Every cell's balance at timestep 40: absent in the runs that end before, not modelled where no cell is."""
+    moves = flow(spark, sf_dir, False).withColumn("seq", F.lit(0))
+    cells = ledger.signed_legs(moves).select("endpoint", "substance").distinct().select("endpoint", "substance", F.lit(5).cast("long").alias("count"), F.lit(True).alias("modelled"))
+    cells = cells.unionAll(spark.sql("SELECT 'mkt-none', 'z', 0L, false"))
+    return runlog.state_at(moves, cells, moves.groupBy("run_id").agg(F.max("timestep").alias("last_timestep")), 40, FIRST)
+
+
+_HUGE = 1 << 40
+
+
+@query(f"""WITH {_LEGS}, b AS (SELECT run_id, seq, timestep, endpoint, substance, delta * {_HUGE} AS delta, sum(delta * {_HUGE}) OVER (PARTITION BY run_id, endpoint, substance ORDER BY seq) AS balance FROM legs)
+SELECT run_id, seq, timestep, endpoint, substance, delta::BIGINT AS delta, balance::BIGINT AS balance FROM b WHERE abs(balance) > {Q.MAX_COUNT}""")
+def count_ceiling(spark, sf_dir):
+    return ledger.over_ceiling(flow(spark, sf_dir).withColumn("count", F.col("count") * F.lit(_HUGE)))
+
+
 # expressions, over line items
 
 
@@ -341,15 +413,16 @@ def interp_extrapolate(spark, sf_dir):
 
 @query(f"SELECT {_KEYSQL}, {_ladder('null', 'null')} AS y FROM {_QROWS}")
 def interp_reject_rows(spark, sf_dir):
-    inside = F.col("l_quantity").between(_KNOTS[0][0], _KNOTS[-1][0])
-    return table(spark, sf_dir, "lineitem").select(*_KEYS, F.when(inside, N.interpolate(F.col("l_quantity"), _KNOTS, "reject")).alias("y"))
+    with N.quiet():
+        y = N.interpolate(F.col("l_quantity"), _KNOTS, "reject")
+    return table(spark, sf_dir, "lineitem").select(*_KEYS, F.nullif(y, F.lit(float("nan"))).alias("y"))
 
 
 @query(f"SELECT {_KEYSQL}, {_ladder('clamp', 'clamp')} AS y FROM {_QROWS}")
 def interp_segment_join(spark, sf_dir):
-    """The same by the join for tables of any size; rows are dealt over copies of the table by part, as one table is one window."""
-    knots = spark.createDataFrame([(f"t{k}", x, y, "clamp_to_endpoint") for k in range(16) for x, y in _KNOTS], "table_id string, x double, y double, policy string")
-    rows = table(spark, sf_dir, "lineitem").select(*_KEYS, F.col("l_quantity").alias("q"), F.concat(F.lit("t"), F.pmod("l_partkey", F.lit(16)).cast("string")).alias("table_id"))
+    """The same by the join for tables of any size, here of one table."""
+    knots = spark.createDataFrame([("t", x, y, "clamp_to_endpoint") for x, y in _KNOTS], "table_id string, x double, y double, policy string")
+    rows = table(spark, sf_dir, "lineitem").select(*_KEYS, F.col("l_quantity").alias("q"), F.lit("t").alias("table_id"))
     return N.interpolate_join(rows, knots, "q").select(*_KEYS, "y")
 
 
@@ -431,6 +504,15 @@ def partition_retained(spark, sf_dir):
     return partition.retained(rows, moved, "available", _KEYS)
 
 
+@query(f"""SELECT {_KEYSQL}, 'a' AS branch, 'InvalidAmount' AS violation FROM lineitem WHERE l_quantity - 3 < 0 UNION ALL SELECT {_KEYSQL}, 'b', 'InvalidAmount' FROM lineitem WHERE l_discount = 0
+UNION ALL SELECT {_KEYSQL}, 'c', 'InvalidAmount' FROM lineitem WHERE l_extendedprice * 1e12::DOUBLE > {Q.MAX_COUNT}::DOUBLE""")
+def partition_violations(spark, sf_dir):
+    """Amounts that cannot move: negative, not a number, above the largest count."""
+    rows = table(spark, sf_dir, "lineitem").select(*_KEYS, F.col("l_quantity").alias("amount"), F.col("l_discount").alias("share"), "l_extendedprice")
+    branches = [("a", F.col("amount") - 3), ("b", F.when(F.col("share") == 0, F.lit(float("nan"))).otherwise(F.col("share"))), ("c", F.col("l_extendedprice") * F.lit(1e12))]
+    return partition.violations(rows, branches, F.lit(1.0), _KEYS).select(*_KEYS, "branch", "violation")
+
+
 # projections, over hourly event series
 
 
@@ -491,70 +573,51 @@ def projection_chain(spark, sf_dir):
 # models
 
 
-def _wrap(e: Expr) -> dict:
-    return {"rule_ir_version": "v1", "numerical_semantics_version": "v1", "expression": e.to_dict()}
+_wrap, _projection = B.expression, B.projection
 
 
 def _rule(c: str, e: Expr, kind: dict, **parameters: float) -> dict:
-    return {"compartment": c, "substance": "water", "expression": _wrap(e), "disposition": {"rule_ir_version": "v1", "numerical_semantics_version": "v1", "partition": kind}, "parameters": [{"id": k, "value": v} for k, v in parameters.items()]}
+    return B.rule(c, "water", e, kind, parameters)
 
 
 def _fact_source(direction: str, c: str) -> dict:
-    return {"kind": "authoritative_fact", "selector": {"kind": f"{direction}_transfer_amount", "compartment": c, "substance": "water"}}
-
-
-def _projection(name: str, spec: dict, initial: list) -> tuple[dict, dict]:
-    own = {"rule_ir_version": "v1", "numerical_semantics_version": "v1", "id": name, "value_kind": "extensive", "spec": spec}
-    return own, {"projection": name, "values": [{"kind": "extensive", "value": v} for v in initial]}
+    return B.fact(direction, c, "water")
 
 
-def basin(last: int = 119, closed: bool = False) -> Model:
+def basin(last: int = 119, closed: bool = False, stock: float = 100000.0) -> Model:
     """rain -> upper -> lower -> sea: the upper releases by table and parameter, the lower what came two steps before;
     closed: and a pool releases half of what it released before."""
     values = [float((7 * t) % 11) for t in range(last + 1)]
-    lag, state = _projection("late", {"kind": "bounded_lag", "source": _fact_source("incoming", "lower"), "steps": 2}, [1.0, 2.0])
-    half, half_state = _projection("own", {"kind": "bounded_lag", "source": _fact_source("outgoing", "pool"), "steps": 1}, [64.0])
+    lag, state = _projection("late", B.bounded_lag(_fact_source("incoming", "lower"), 2), [1.0, 2.0])
+    half, half_state = _projection("own", B.bounded_lag(_fact_source("outgoing", "pool"), 1), [64.0])
     late = Expr("projection", name="late", declared="extensive")
     own = Expr("projection", name="own", declared="extensive")
     rain = add(multiply(param("gain"), forcing("rain")), table_lookup("curve", forcing("rain")))
-    rules = [_rule("upper", rain, {"kind": "release_all", "branch": "down"}, gain=0.5), _rule("lower", late, {"kind": "release_all", "branch": "out"})]
+    rules = [_rule("upper", rain, B.release_all("down"), gain=0.5), _rule("lower", late, B.release_all("out"))]
     bindings = [("upper", "down", "lower"), ("lower", "out", "sea")]
     if closed:
-        rules.append(_rule("pool", multiply(own, lit(0.5)), {"kind": "release_all", "branch": "spill"}))
+        rules.append(_rule("pool", multiply(own, lit(0.5)), B.release_all("spill")))
         bindings.append(("pool", "spill", "sea"))
     finite = ["lower", "upper", *(["pool"] if closed else [])]
-    return Model.from_document({
-        "document_version": "v1", "versions": {k: "v1" for k in ("rule_ir", "interpreter", "numerical_semantics", "canonical_encoding")},
-        "finite_compartments": finite, "boundary_accounts": ["sea"], "connections": [{"source": a, "target": b} for a, _, b in bindings], "substances": ["water"],
-        "initial_stocks": [{"compartment": c, "amounts": [{"substance": "water", "amount": 100000.0}]} for c in finite],
-        "calendar": {"origin_unix_seconds": 0, "timestep_seconds": 86400}, "horizon": {"first": 0, "last": last},
-        "projections": {"specifications": [lag, *([half] if closed else [])], "initial_states": [state, *([half_state] if closed else [])]},
-        "forcings": [{"id": "rain", "horizon": {"first": 0, "last": last}, "values": values}],
-        "interpolation_tables": [{"id": "curve", "numerical_semantics_version": "v1", "boundary_policy": "clamp_to_endpoint", "abscissae": [0.0, 4.0, 8.0], "ordinates": [0.0, 1.0, 4.0]}],
-        "rules": rules, "transfer_bindings": [{"compartment": c, "substance": "water", "branch": b, "destination": d} for c, b, d in bindings], "input_bindings": [], "units": [{"substance": "water", "unit": "m3", "quantum": 0.25}],
-    })
+    return Model.from_document(B.model_document(
+        finite, ["sea"], [(a, b) for a, _, b in bindings], {(c, "water"): stock for c in finite}, {"water": ("m3", 0.25)}, (0, last), rules, {(c, "water", b): d for c, b, d in bindings},
+        projections=[(lag, state), *([(half, half_state)] if closed else [])], forcings={"rain": values}, tables=[B.table("curve", [(0.0, 0.0), (4.0, 1.0), (8.0, 4.0)], "clamp_to_endpoint")],
+    ))
 
 
 def _document(finite: list[str], edges: list[tuple[str, str]], last: int, quantum: float, stock: float, rules: list[dict], bindings: list[tuple[str, str, str]], inputs: list[tuple[str, str, str]] = (), projections: list[tuple[dict, dict]] = (), forcings: dict[str, list[float]] | None = None, tables: list[dict] = ()) -> Model:
     """A model of one substance, water, with daily steps and the same stock in each compartment."""
-    return Model.from_document({
-        "document_version": "v1", "versions": {k: "v1" for k in ("rule_ir", "interpreter", "numerical_semantics", "canonical_encoding")},
-        "finite_compartments": finite, "boundary_accounts": ["outside"], "connections": [{"source": a, "target": b} for a, b in edges], "substances": ["water"],
-        "initial_stocks": [{"compartment": c, "amounts": [{"substance": "water", "amount": stock}]} for c in finite],
-        "calendar": {"origin_unix_seconds": 0, "timestep_seconds": 86400}, "horizon": {"first": 0, "last": last},
-        "projections": {"specifications": [p for p, _ in projections], "initial_states": [s for _, s in projections]},
-        "forcings": [{"id": n, "horizon": {"first": 0, "last": last}, "values": v} for n, v in (forcings or {}).items()], "interpolation_tables": list(tables),
-        "rules": rules, "transfer_bindings": [{"compartment": c, "substance": "water", "branch": b, "destination": d} for c, b, d in bindings],
-        "input_bindings": [{"compartment": c, "substance": "water", "input": n, "value_kind": "scalar", "source": {"kind": "forcing", "forcing": {"id": f}}} for c, n, f in inputs],
-        "units": [{"substance": "water", "unit": "m3", "quantum": quantum}],
-    })
+    return Model.from_document(B.model_document(
+        finite, ["outside"], edges, {(c, "water"): stock for c in finite}, {"water": ("m3", quantum)}, (0, last), rules, {(c, "water", b): d for c, b, d in bindings},
+        [B.forcing_input(c, "water", n, f) for c, n, f in inputs], projections, forcings, tables,
+    ))
 
 
 def chain(length: int, last: int) -> Model:
     """c000 -> c001 -> ... -> outside: the first releases a constant, every other what came in a step before."""
     names = [f"c{k:03d}" for k in range(length)]
-    lags = [_projection(f"late-{c}", {"kind": "bounded_lag", "source": _fact_source("incoming", c), "steps": 1}, [1.0]) for c in names[1:]]
-    rules = [_rule(c, Expr("projection", name=f"late-{c}", declared="extensive") if k else lit(2), {"kind": "release_all", "branch": "on"}) for k, c in enumerate(names)]
+    lags = [_projection(f"late-{c}", B.bounded_lag(_fact_source("incoming", c), 1), [1.0]) for c in names[1:]]
+    rules = [_rule(c, Expr("projection", name=f"late-{c}", declared="extensive") if k else lit(2), B.release_all("on")) for k, c in enumerate(names)]
     edges = list(zip(names, [*names[1:], "outside"]))
     return _document(names, edges, last, 0.5, 1000.0, rules, [(a, "on", b) for a, b in edges], projections=lags)
 
@@ -562,23 +625,20 @@ def chain(length: int, last: int) -> Model:
 def published_sweep(last: int = 2190) -> Model:
     """The published benchmark's model: 50 compartments without connections, 20 forcings, one rule that retains all, one parameter."""
     names = [f"basin-{k:02d}" for k in range(50)]
-    return _document(names, [], last, 1e-6, 1.0, [_rule(names[0], param("release-coefficient"), {"kind": "retain_all"}, **{"release-coefficient": 0.2})], [], forcings={f"forcing-{k:02d}": [float(k)] * (last + 1) for k in range(20)})
+    return _document(names, [], last, 1e-6, 1.0, [_rule(names[0], param("release-coefficient"), B.retain_all(), **{"release-coefficient": 0.2})], [], forcings={f"forcing-{k:02d}": [float(k)] * (last + 1) for k in range(20)})
 
 
 def hydrology(without: tuple[str, ...] = ()) -> Model:
     """Seven compartments that each release to the outside by a rule of another kind: recurrence, lag, Muskingum routing (which reads
     its own past), table lookup, minimum of inputs, a policy that chooses, and a shared demand."""
     scalar = lambda n: Expr("input", name=n, declared="scalar")
-    state = lambda n, k: {"reference": {"id": n, "value_kind": "scalar"}, "source": {"kind": "previous_state", "index": k, "value_kind": "extensive"}}
-    fact = lambda n, way, c: {"reference": {"id": n, "value_kind": "scalar"}, "source": _fact_source(way, c)}
-    parameters = lambda *names: [{"id": n, "value_kind": "scalar"} for n in names]
     past = lambda n: Expr("projection", name=n, declared="extensive")
     kept = multiply(param("linear-coefficient"), scalar("storage"))
-    store = {"kind": "finite_recurrence", "state_kinds": ["extensive"] * 2, "inputs": [state("storage", 0)], "parameters": parameters("linear-coefficient"), "updates": [_wrap(subtract(scalar("storage"), kept)), _wrap(kept)], "output_index": 1}
+    store = B.recurrence([subtract(scalar("storage"), kept), kept], [B.state_input("storage", 0)], ["linear-coefficient"], 1)
     weights = ("muskingum-c0", "muskingum-c1", "muskingum-c2")
     parts = [multiply(param(w), x) for w, x in zip(weights, (scalar("inflow"), past("inflow-before"), past("outflow-before")))]
-    routed = {"kind": "finite_recurrence", "state_kinds": ["extensive"], "inputs": [fact("inflow", "incoming", "muskingum")], "parameters": parameters(*weights), "updates": [_wrap(add(add(parts[0], parts[1]), parts[2]))], "output_index": 0}
-    lag = lambda way, c, n: {"kind": "bounded_lag", "source": _fact_source(way, c), "steps": n}
+    routed = B.recurrence([add(add(parts[0], parts[1]), parts[2])], [B.fact_input("inflow", _fact_source("incoming", "muskingum"))], weights)
+    lag = lambda way, c, n: B.bounded_lag(_fact_source(way, c), n)
     projections = [
         ("linear-reservoir", _projection("linear-reservoir-state", store, [8.0, 0.0])), ("lag", _projection("travel-time-lag", lag("incoming", "lag", 2), [3.0, 2.0])),
         ("muskingum", _projection("inflow-before", lag("incoming", "muskingum", 1), [4.0])), ("muskingum", _projection("outflow-before", lag("outgoing", "muskingum", 1), [2.0])),
@@ -596,10 +656,10 @@ def hydrology(without: tuple[str, ...] = ()) -> Model:
     }
     series = {"air-temperature": [0.0, 10.0, 20.0], "seepage-available": [10.0] * 3, "hydraulic-head": [4.0, 6.0, 8.0], "policy-storage": [40.0, 60.0, 45.0], "policy-available": [10.0] * 3, "requested-demand": [6.0, 8.0, 10.0], "demand-available": [20.0] * 3}
     inputs = [("seepage", "seepage-available"), ("seepage", "hydraulic-head"), ("reservoir-policy", "policy-storage"), ("reservoir-policy", "policy-available"), ("demand", "demand-available")]
-    curve = {"id": "evaporation-by-temperature", "numerical_semantics_version": "v1", "boundary_policy": "clamp_to_endpoint", "abscissae": [0.0, 10.0, 20.0], "ordinates": [1.0, 2.0, 3.0]}
+    curve = B.table("evaporation-by-temperature", [(0.0, 1.0), (10.0, 2.0), (20.0, 3.0)], "clamp_to_endpoint")
     own = [c for c in rules if c not in without]
     return _document(
-        own, [(c, "outside") for c in own], 2, 1e-6, 100.0, [_rule(c, rules[c][0], {"kind": "release_all", "branch": f"{c}-out"}, **rules[c][1]) for c in own], [(c, f"{c}-out", "outside") for c in own],
+        own, [(c, "outside") for c in own], 2, 1e-6, 100.0, [_rule(c, rules[c][0], B.release_all(f"{c}-out"), **rules[c][1]) for c in own], [(c, f"{c}-out", "outside") for c in own],
         [(c, n, n) for c, n in inputs if c in own], [p for c, p in projections if c in own], series, [curve],
     )
 
@@ -639,6 +699,44 @@ def parameter_sweep(spark, sf_dir):
     return execute.run(spark, basin(), grid).groupBy("run_id", "source").agg(F.sum("count").alias("count"), F.count("*").alias("transfers"))
 
 
+def _given(rows: DataFrame, run: str, target: tuple[str, str, str] | None = None, value=None) -> DataFrame:
+    """The parameter rows of one run for each row of a table."""
+    c, s, p = target or (None, None, None)
+    text = lambda x: F.lit(x).cast("string")
+    return rows.select(F.expr(run).alias("run_id"), text(c).alias("compartment"), text(s).alias("substance"), text(p).alias("parameter"), (F.lit(None) if value is None else value).cast("double").alias("value"))
+
+
+@query(f"""WITH runs AS (SELECT 's' || s_suppkey::VARCHAR AS run_id, s_acctbal / 1000::DOUBLE AS gain FROM supplier), w AS (SELECT unnest(range(0, 120))::BIGINT AS timestep), a AS (SELECT run_id, timestep, gain, ((7 * timestep) % 11)::DOUBLE AS x FROM runs CROSS JOIN w),
+v AS (SELECT run_id, timestep, gain * x + ({_CURVE}) AS v FROM a), u AS (SELECT run_id, timestep, v, CASE WHEN v >= 0 THEN {_sqlfloor('v', '0.25::DOUBLE')} ELSE 0 END AS n FROM v), b AS (SELECT *, sum(n) OVER (PARTITION BY run_id ORDER BY timestep) AS moved FROM u),
+e AS (SELECT run_id, timestep, CASE WHEN v < 0 THEN 'InvalidAmount' WHEN moved > 8000 THEN 'RuleOverdraw' END AS error FROM b), f AS (SELECT run_id, min(timestep) AS timestep, min_by(error, timestep) AS error FROM e WHERE error IS NOT NULL GROUP BY run_id),
+l AS (SELECT run_id, n, CASE timestep WHEN 0 THEN 4 WHEN 1 THEN 8 ELSE lag(n, 2) OVER (PARTITION BY run_id ORDER BY timestep) END AS m FROM u), t AS (SELECT run_id, sum((n > 0)::INTEGER + (m > 0)::INTEGER)::BIGINT AS transfers FROM l GROUP BY run_id)
+SELECT run_id, CASE WHEN error IS NULL THEN 'completed' ELSE 'failed' END AS status, error, f.timestep, CASE WHEN error IS NULL THEN transfers ELSE 0 END AS transfers FROM t LEFT JOIN f USING (run_id)""")
+def run_outcomes(spark, sf_dir):
+    """A run for each supplier, its gain from the account balance: debts release less than nothing, large credits overdraw."""
+    grid = _given(table(spark, sf_dir, "supplier"), "concat('s', s_suppkey)", ("upper", "water", "gain"), F.col("s_acctbal") / F.lit(1000.0))
+    return execute.outcomes(spark, basin(stock=2000.0), grid)
+
+
+@query(f"""WITH {_HOURLY}, a AS (SELECT event_type AS run_id, timestep, (cents % 11)::DOUBLE AS x FROM hourly), u AS (SELECT run_id, timestep, {_sqlfloor('v', '0.25::DOUBLE')} AS n FROM (SELECT run_id, timestep, 0.5::DOUBLE * x + ({_CURVE}) AS v FROM a)),
+l AS (SELECT run_id, timestep, CASE timestep WHEN 0 THEN 4 WHEN 1 THEN 8 ELSE lag(n, 2) OVER (PARTITION BY run_id ORDER BY timestep) END::BIGINT AS n FROM u), f AS (SELECT run_id, timestep, 'upper' AS source, n FROM u UNION ALL SELECT run_id, timestep, 'lower', n FROM l)
+SELECT run_id, timestep, source, n AS count, n * 0.25::DOUBLE AS amount FROM f WHERE n > 0""")
+def simulate_from_tables(spark, sf_dir):
+    """A run for each type of event, with the type's hourly series as its rain."""
+    rain = hourly(spark, sf_dir).select(F.col("event_type").alias("run_id"), F.lit("rain").alias("forcing_id"), "timestep", (F.col("cents") % 11).cast("double").alias("value"))
+    params = _given(rain.select("run_id").distinct(), "run_id")
+    return execute.run(spark, basin(719), params, forcings=rain).select("run_id", "timestep", "source", "count", "amount")
+
+
+@query("""WITH base(source, timestep, n) AS (VALUES ('linear-reservoir', 0, 2000000), ('linear-reservoir', 1, 1500000), ('linear-reservoir', 2, 1125000), ('lag', 0, 3000000), ('lag', 1, 2000000), ('muskingum', 0, 1800000), ('muskingum', 1, 540000), ('muskingum', 2, 161999),
+ ('evaporation', 0, 1000000), ('evaporation', 1, 2000000), ('evaporation', 2, 3000000), ('seepage', 0, 2000000), ('seepage', 1, 3000000), ('seepage', 2, 4000000), ('reservoir-policy', 0, 3000000), ('reservoir-policy', 1, 0), ('reservoir-policy', 2, 3000000), ('demand', 0, 6000000), ('demand', 1, 8000000), ('demand', 2, 10000000)),
+r AS (SELECT 's' || s_suppkey::VARCHAR AS run_id, 1 + s_nationkey % 12 AS release FROM supplier), x AS (SELECT run_id, timestep::BIGINT AS timestep, source, (CASE WHEN source = 'reservoir-policy' AND timestep = 1 THEN least(release, 10) * 1000000 ELSE n END)::BIGINT AS count FROM base CROSS JOIN r)
+SELECT run_id, timestep, source, count, count::DOUBLE * 0.000001::DOUBLE AS amount FROM x""")
+def hydrology_fixture(spark, sf_dir):
+    """The end-to-end model, step by step (tier C), for each supplier with a flood release of its own."""
+    grid = _given(table(spark, sf_dir, "supplier"), "concat('s', s_suppkey)", ("reservoir-policy", "water", "flood-release"), 1 + F.col("s_nationkey") % 12)
+    return execute.run(spark, hydrology(), grid).select("run_id", "timestep", "source", "count", "amount")
+
+
 @query("""WITH RECURSIVE e(a, b) AS (VALUES ('lower', 'sea'), ('upper', 'lower'), ('pool', 'sea')), n AS (SELECT a AS id FROM e UNION SELECT b FROM e),
 r AS (SELECT id, 0 AS d FROM n UNION ALL SELECT e.b, r.d + 1 FROM r JOIN e ON e.a = r.id) SELECT id AS endpoint, max(d)::INTEGER AS depth FROM r GROUP BY id""")
 def topological_order(spark, sf_dir):

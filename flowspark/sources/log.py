@@ -6,7 +6,7 @@ tasks and no task holds more than a block's records or a run's block digests.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 4096
@@ -27,6 +27,27 @@ def log_digests(transfers: DataFrame) -> DataFrame:
     return blocks.groupBy("run_id").agg(F.sha2(text("line"), 256).alias("log_digest"), F.sum("n").alias("transfer_count"))
 
 
+def bits(amount: Column) -> Column:
+    """A double as text that no other double has (its binary digits in hexadecimal, with the exponent)."""
+    return F.format_string("%a", amount)
+
+
+def digests(genesis: DataFrame, transfers: DataFrame) -> DataFrame:
+    """run_id, log_digest, transfer_count over a run's genesis (run_id, model_digest, numerical_semantics, endpoint, substance,
+    count, amount) and its transfers with the bits of their amounts; two runs that begin otherwise digest otherwise."""
+    text = lambda *parts: F.concat_ws(",", *[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts])
+    head = F.first(text(F.col("model_digest"), F.col("numerical_semantics")))
+    cell = text(F.col("endpoint"), F.col("substance"), F.col("count").cast("string"), bits(F.col("amount")))
+    begun = genesis.groupBy("run_id").agg(head.alias("head"), F.array_join(F.array_sort(F.collect_list(cell)), "\n").alias("cells"))
+    begun = begun.select("run_id", F.sha2(F.concat_ws("\n", "head", "cells"), 256).alias("genesis_digest"))
+    rows = transfers.select("run_id", "seq", text(*[F.col(f).cast("string") for f in FIELDS], bits(F.col("amount"))).alias("line")).withColumn("block", F.floor(F.col("seq") / BLOCK))
+    joined = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda r: r["line"]), "\n")
+    blocks = rows.groupBy("run_id", "block").agg(F.sha2(joined(), 256).alias("line"), F.count("*").alias("n")).withColumnRenamed("block", "seq")
+    moved = blocks.groupBy("run_id").agg(joined().alias("blocks"), F.sum("n").alias("n"))
+    out = begun.join(moved, "run_id", "left")
+    return out.select("run_id", F.sha2(F.concat_ws("\n", "genesis_digest", "blocks"), 256).alias("log_digest"), F.coalesce("n", F.lit(0)).cast("long").alias("transfer_count"))
+
+
 def records(genesis: DataFrame, transfers: DataFrame, seals: DataFrame) -> DataFrame:
     """Genesis, transfers and seal of each run as one table (run_id, seq, record, body)."""
     start = genesis.select("run_id", F.lit(-1).cast("long").alias("seq"), F.lit("genesis").alias("record"), F.to_json(F.struct("model_digest")).alias("body")).distinct()
