@@ -38,6 +38,25 @@ def tables_of(spark: SparkSession, model: Model) -> dict[str, DataFrame]:
     }
 
 
+def document_with(document: dict, forcing: DataFrame | None = None, knots: DataFrame | None = None) -> dict:
+    """The document with forcings (forcing_id, timestep, value) and tables (table_id, x, y, policy) read from DataFrames in place of
+    its own of the same names. They become part of the document, so they must be of its size; a run's own series of any
+    size go to execute.run(forcings=) instead."""
+    out = json.loads(json.dumps(document))
+    first, last = out["horizon"]["first"], out["horizon"]["last"]
+    if forcing is not None:
+        if bad := forcing_violations(forcing, first, last).first():
+            raise ModelError(f"ValueCountMismatch: {bad.forcing_id}")
+        rows = forcing.groupBy("forcing_id").agg(F.array_sort(F.collect_list(F.struct("timestep", "value"))).alias("v")).collect()
+        new = {r.forcing_id: {"id": r.forcing_id, "horizon": {"first": first, "last": last}, "values": [x.value for x in r.v]} for r in rows}
+        out["forcings"] = [f for f in out["forcings"] if f["id"] not in new] + list(new.values())
+    if knots is not None:
+        rows = knots.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("k"), F.first("policy").alias("policy")).collect()
+        new = {r.table_id: {"id": r.table_id, "numerical_semantics_version": "v1", "boundary_policy": r.policy, "abscissae": [k.x for k in r.k], "ordinates": [k.y for k in r.k]} for r in rows}
+        out["interpolation_tables"] = [t for t in out["interpolation_tables"] if t["id"] not in new] + list(new.values())
+    return out
+
+
 def forcing_violations(forcing: DataFrame, first: int, last: int) -> DataFrame:
     """Series with a value missing, repeated, outside the horizon or not finite."""
     odd = F.isnan("value") | F.col("value").isNull() | (F.abs("value") == float("inf"))

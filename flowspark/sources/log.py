@@ -75,11 +75,16 @@ def append(transfers: DataFrame, path: str) -> None:
 
 
 def insert_models(spark, path: str, models: DataFrame) -> None:
-    """models (digest, document), less those that path has: content decides, so a repeat adds nothing."""
+    """models (digest, document), less those that path has: content decides, so a repeat adds nothing. Two documents of one
+    digest, in models or against what path has, raise."""
     try:
-        held = spark.read.parquet(path).select("digest")
+        held = spark.read.parquet(path).select("digest", "document")
     except Exception as e:  # nothing there yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        held = spark.createDataFrame([], "digest string")
-    models.dropDuplicates(["digest"]).join(held, "digest", "left_anti").write.mode("append").parquet(path)
+        held = spark.createDataFrame([], "digest string, document string")
+    own = models.select("digest", "document").distinct()
+    clash = own.unionByName(held).groupBy("digest").agg(F.count_distinct("document").alias("n")).where("n > 1").first()
+    if clash:
+        raise ValueError(f"DigestCollision: {clash.digest}")
+    own.join(held.select("digest"), "digest", "left_anti").write.mode("append").parquet(path)

@@ -97,6 +97,42 @@ def test_expression_partition_and_overdraw(spark):
     (lambda d: d["projections"]["specifications"].append(copy.deepcopy(d["projections"]["specifications"][0])), "DuplicateProjection"),
     (lambda d: d["units"].clear(), "MissingUnit"),
     (lambda d: d["units"][0].update(quantum=0.0), "NonPositiveQuantum"),
+    (lambda d: d["units"][0].update(substance="salt"), "UnknownUnitSubstance"),
+    (lambda d: d["units"].append(dict(d["units"][0])), "DuplicateUnit"),
+    (lambda d: d["units"][0].update(unit="m 3"), "InvalidUnit"),
+    (lambda d: d["substances"].append("water"), "DuplicateSubstance"),
+    (lambda d: d["substances"].append("salt"), "MissingUnit"),
+    (lambda d: d["initial_stocks"].append(copy.deepcopy(d["initial_stocks"][0])), "DuplicateCompartment"),
+    (lambda d: d["initial_stocks"][0].update(compartment="none"), "UnknownCompartment"),
+    (lambda d: d["initial_stocks"][0]["amounts"][0].update(substance="salt"), "UnregisteredSubstance"),
+    (lambda d: d["initial_stocks"][0]["amounts"][0].update(amount=1e300), "StockNotCountable"),
+    (lambda d: (d["substances"].append("salt"), d["units"].append({"substance": "salt", "unit": "kg", "quantum": 1.0}), d["initial_stocks"][0]["amounts"].append({"substance": "salt", "amount": 2.0})), "MissingRule"),
+    (lambda d: d["projections"]["initial_states"][0]["values"].pop(), "InitialStateLength"),
+    (lambda d: d["projections"]["initial_states"][0]["values"][0].update(value=-1.0), "Negative"),
+    (lambda d: d["projections"]["specifications"][0]["spec"].update(steps=0), "NonPositiveBound"),
+    (lambda d: d["projections"]["specifications"][0]["spec"]["source"]["selector"].update(compartment="none"), "UnknownProjectionFactCompartment"),
+    (lambda d: d["projections"]["specifications"][0]["spec"]["source"]["selector"].update(substance="salt"), "UnknownProjectionFactSubstance"),
+    (lambda d: d["projections"]["initial_states"].append({"projection": "none", "values": []}), "UnknownInitialState"),
+    (lambda d: d["rules"].append(copy.deepcopy(d["rules"][0])), "DuplicateRule"),
+    (lambda d: d["rules"][0].update(compartment="none"), "UnknownRuleCompartment"),
+    (lambda d: d["rules"][0].update(compartment="sea"), "BoundaryAccountRule"),
+    (lambda d: d["rules"][0].update(substance="salt"), "UnknownRuleSubstance"),
+    (lambda d: d["rules"][0]["parameters"].append({"id": "gain", "value": 1.0}), "DuplicateParameter"),
+    (lambda d: d["rules"][0].update(disposition={"rule_ir_version": "v1", "numerical_semantics_version": "v1", "partition": {"kind": "fixed_fraction_split", "retained_fraction": 0.5, "branches": [{"branch": "down", "fraction": 0.4}]}}), "InvalidFixedFractionTotal"),
+    (lambda d: d["rules"][0]["disposition"]["partition"].update(kind="spill"), "UnknownKind"),
+    (lambda d: d["rules"][0]["disposition"].update(rule_ir_version="v2"), "RuleIrVersionMismatch"),
+    (lambda d: d["transfer_bindings"].append({"compartment": "upper", "substance": "water", "branch": "more", "destination": "lower"}), "UnusedTransferBinding"),
+    (lambda d: d["transfer_bindings"][0].update(destination="sea"), "UndeclaredConnection"),
+    (lambda d: d["transfer_bindings"].append(dict(d["transfer_bindings"][0])), "DuplicateTransferBranch"),
+    (lambda d: d["interpolation_tables"][0].update(boundary_policy="none"), "UnknownKind"),
+    (lambda d: d["interpolation_tables"][0].update(abscissae=[0.0], ordinates=[0.0]), "TooFewPoints"),
+    (lambda d: d["interpolation_tables"][0]["ordinates"].pop(), "CoordinateCountMismatch"),
+    (lambda d: d["forcings"][0].update(horizon={"first": 0, "last": 3}), "ForcingHorizonMismatch"),
+    (lambda d: d["forcings"].append(copy.deepcopy(d["forcings"][0])), "DuplicateForcing"),
+    (lambda d: d["forcings"].clear(), "UnknownForcing"),
+    (lambda d: d["interpolation_tables"].clear(), "UnknownTable"),
+    (lambda d: d.update(document_version="v2"), "DocumentVersion"),
+    (lambda d: d.pop("units"), "MalformedDocument"),
 ])
 def test_diagnostics(change, code):
     d = document()
@@ -105,6 +141,36 @@ def test_diagnostics(change, code):
         Model.from_document(d)
 
 
+def _changed(spec=None, initial=None):
+    d = reservoir()
+    d["projections"]["specifications"][0]["spec"].update(spec or {})
+    if initial is not None:
+        d["projections"]["initial_states"][0]["values"] = initial
+    return d
+
+
+def _updates(*expressions):
+    return [{"rule_ir_version": "v1", "numerical_semantics_version": "v1", "expression": e.to_dict()} for e in expressions]
+
+
+@pytest.mark.parametrize("document, code", [
+    (_changed({"output_index": 2}), "RecurrenceOutputIndex"),
+    (_changed({"state_kinds": ["extensive"]}), "RecurrenceUpdateCount"),
+    (_changed({"state_kinds": [], "updates": []}), "NonPositiveBound"),
+    (_changed({"parameters": [{"id": "k", "value_kind": "scalar"}, {"id": "j", "value_kind": "scalar"}]}), "UnusedParameterDeclaration"),
+    (_changed({"parameters": []}), "MissingParameterDeclaration"),
+    (_changed({"inputs": []}), "MissingInputBinding"),
+    (_changed({"updates": _updates(Expr("parameter", name="k"), Expr("parameter", name="k"))}), "UnusedInputBinding"),
+    (_changed({"updates": _updates(Expr("forcing", name="f"), Expr("parameter", name="k"))}), "ForbiddenRecurrenceLeaf"),
+    (_changed({"updates": _updates(Expr("comparison", (lit(1), lit(2)), name="equal"), Expr("parameter", name="k"))}), "RecurrenceUpdateKind"),
+    (_changed(initial=[{"kind": "extensive", "value": 1.0}]), "InitialStateLength"),
+    (_changed(initial=[{"kind": "extensive", "value": 1.0}, {"kind": "scalar", "value": 1.0}]), "InitialStateKind"),
+])
+def test_recurrence_diagnostics(document, code):
+    with pytest.raises(ModelError, match=code):
+        Model.from_document(document)
+
+
 def test_nesting_and_cycles():
     d = document()
     node = {"kind": "literal", "value": 0.0}
@@ -164,6 +230,15 @@ def test_sources(spark, tmp_path):
     for _ in range(2):
         log.insert_models(spark, str(tmp_path / "archive"), rows)
     assert spark.read.parquet(str(tmp_path / "archive")).count() == 1
+    with pytest.raises(ValueError, match="DigestCollision"):
+        log.insert_models(spark, str(tmp_path / "archive"), spark.createDataFrame([(m.digest, "{}")], "digest string, document string"))
+    t = documents.tables_of(spark, m)
+    wider = t["forcing"].withColumn("value", F.col("value") + 1), t["knots"].withColumn("y", F.col("y") * 2)
+    read = Model.from_document(documents.document_with(m.document, *wider))
+    assert read.forcings["rain"] == tuple(v + 1 for v in m.forcings["rain"]) and read.tables["curve"].knots == tuple((x, 2 * y) for x, y in m.tables["curve"].knots)
+    assert Model.from_document(documents.document_with(m.document, t["forcing"], t["knots"])).digest == m.digest
+    with pytest.raises(ModelError, match="ValueCountMismatch"):
+        documents.document_with(m.document, t["forcing"].where("timestep < 3"))
 
 
 def test_streaming(spark, tmp_path):
