@@ -46,6 +46,8 @@ MISS = 1e-6
 BLOCK = 512
 #: Classes with copies are broadcast up to so many (16 bytes each), and joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
+#: Ids of texts whose sets are needed are broadcast up to so many (8 bytes each), or the texts would be shuffled to find them.
+WANTED_ROWS = 2_000_000
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 63, COORDINATES, dtype=U64) * U64(2) + _rng.integers(0, 2, COORDINATES, dtype=U64)
@@ -342,8 +344,8 @@ def link(docs: DataFrame, percent: int = 80, text: str = "text", key: str = "doc
     prefixes = cuts(posted.select("class", F.transform(prefix, lambda x: x["token"]).alias("tokens")))
     postings = cuts(prefixes.select("class", F.explode("tokens").alias("token")).join(prefixes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "token"))
     classes = cuts(alone.dropDuplicates(["class"]).join(prefixes.select("class"), "class").select("class", "doc_id", "n", "sig"))
-    wanted = classes.join(postings.select("class").distinct(), "class", "left_semi").select("doc_id")
-    sets = cuts(base.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "class long, shingles binary").dropDuplicates(["class"]))
+    wanted = cuts(classes.join(postings.select("class").distinct(), "class", "left_semi").select("doc_id"))
+    sets = cuts(base.join(small(wanted, WANTED_ROWS), "doc_id", "left_semi").mapInArrow(_sets, "class long, shingles binary").dropDuplicates(["class"]))
 
     links = cuts(_confirmed(_stars(postings, classes, percent, of_all), sets, percent))
     labels = cuts(components(links).select(F.col("u").alias("class"), F.col("root").alias("label")))
