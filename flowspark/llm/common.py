@@ -89,6 +89,8 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str | list[str], total:
     Keys with at least max(least, total / most) rows are hot. There are at most `most` of them, so they are broadcast, and
     their rows stay where they are; only the others are dealt out by key.
     """
+    if total < least:
+        return rows.join(table.drop("n"), key)
     hot = F.col("n") >= max(least, total / most)
     tried = rows.join(F.broadcast(table.where(hot).withColumnRenamed("n", "__n")), key, "left")
     added = [c for c in table.columns if c != "n" and c not in ([key] if isinstance(key, str) else key)]

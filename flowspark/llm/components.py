@@ -50,9 +50,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         total = edges.count()
         tasks = 1 + total // ROWS
-        led = cut(_large(edges, tasks, total))
-        found = cut(_small(led, tasks, total))
-        release(edges, led)
+        led = _large(edges, tasks, total)
+        written = [cut(led)] if total > ROWS else []  # few edges are sooner led twice than written
+        found = cut(_small(written[0] if written else led, tasks, total))
+        release(edges, *written)
         edges = found
         if _is_stars(edges):
             return edges.select("u", F.col("v").alias("root"))
