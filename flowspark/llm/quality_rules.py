@@ -12,7 +12,8 @@ joined to the documents' lines by a shuffle, with the same result.
 
 Defined results: null text has no words and fails; a null host is a host of its own; repeated rows get the
 same verdict each and count as one document; an empty table gives an empty result; other columns pass
-through, except those named like the operator's own (OWN), which are dropped.
+through, except those named like the operator's own (OWN), which are dropped; a very long text is judged whole, in memory
+bounded by that one text; a line that is exactly at the limit stays.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ fixed at the cap, and what remains is shared again, until no source is above its
 Defined results: null text counts as no words and has size 0; a null source is a source of its own, ranked
 last; a source without words gets target 0; repeated rows each count and take the same number of copies;
 an empty table gives an empty result. Columns of the input are kept beside the new ones, except
-those named like the operator's own (mix_...), which are dropped.
+those named like the operator's own (mix_...), which are dropped. Of a very long text only the number of words
+is used, which its row counts by itself; a source of one such document is taken 0 to max_rate times as a whole.
 """
 
 from __future__ import annotations

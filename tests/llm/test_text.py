@@ -64,6 +64,16 @@ def vocabulary():
     return token_counts.load(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def test_what_a_worker_remembers_is_bounded_and_changes_no_count(vocabulary, monkeypatch):
+    rows = [t or "" for t in texts(3, 200, ["qzxv", "Ünder", "jkw1", " ", "日本", "wq-"])]
+    plain = [token_counts.Counter(vocabulary)(t) for t in rows]
+    count = token_counts.Counter(vocabulary)
+    monkeypatch.setattr(token_counts, "REMEMBERED", 3)
+    resets, own = [], count.counts.reset
+    monkeypatch.setattr(count.counts, "reset", lambda: resets.append(1) or own())
+    assert [count(t) for t in rows] == plain and len(resets) > 5
+
+
 def test_token_counts_equal_the_library(vocabulary):
     from tokenizers import Tokenizer
 
