@@ -102,16 +102,19 @@ class Lattice:
         n, size = len(codes), ends - starts
         until = np.repeat(ends, size)
         at, to, piece, weight = [], [], [], []
-        values = _values(codes)
         single = np.zeros(n, bool)
         place = np.arange(n)
-        for length, (keys, ids, weights, likely) in vocabulary.tables.items():
-            begin = place[place + length <= until]
-            if not len(begin):
+        open_ = place  # where a piece of this length fits
+        for length, sums in _sliding(_values(codes), max(vocabulary.tables, default=0)):
+            open_ = open_[open_ + length <= until[open_]]
+            if not len(open_):
+                break
+            if length not in vocabulary.tables:
                 continue
-            h = _sliding(values, begin, length)
+            keys, ids, weights, likely = vocabulary.tables[length]
+            h = mix(sums[open_] + U64(length * 0x9E3779B97F4A7C15 % (1 << 64)))
             may = likely[h & U64(_FILTER - 1)]
-            begin, h = begin[may], h[may]
+            begin, h = open_[may], h[may]
             k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             hit = keys[k] == h
             begin, k = begin[hit], k[hit]
@@ -128,9 +131,9 @@ class Lattice:
         weight.append(np.full(len(rest), vocabulary.fallback))
         at, to, piece, weight = map(np.concatenate, (at, to, piece, weight))
         # a state is a position after which a segment goes on or ends: position p of the segment that holds p - 1
-        order = np.lexsort((at, to))
+        order = np.argsort(to * (n + 1) + at)
         self.at, self.to, self.piece, weight = at[order], to[order], piece[order], weight[order]
-        self.first = np.searchsorted(self.to, np.arange(n + 2))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.to, minlength=n + 1))])
         begins = np.zeros(n + 1, bool)
         begins[starts] = True
         log = np.zeros(n + 1)
@@ -164,15 +167,15 @@ class Lattice:
         return edge
 
 
-def _sliding(values: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
-    """range_hash of values[b : b + length] for overlapping ranges."""
+def _sliding(values: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length from 1 the sums that range_hash forms of values[b : b + length], at every b with so many values left."""
+    sums = np.zeros(len(values), U64)
+    power = 1
     with np.errstate(over="ignore"):
-        out = np.zeros(len(begin), U64)
-        power = 1
-        for k in range(length):
-            out += values[begin + k] * U64(power)
+        for length in range(1, min(longest, len(values)) + 1):
+            sums[: len(values) - length + 1] += values[length - 1 :] * U64(power)
             power = power * _R % (1 << 64)
-        return mix(out + U64(length) * U64(0x9E3779B97F4A7C15))
+            yield length, sums
 
 
 def _draw(seeds: np.ndarray, positions: np.ndarray) -> np.ndarray:
