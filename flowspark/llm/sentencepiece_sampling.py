@@ -31,7 +31,7 @@ from .common import _R, U64, Texts, mix, pieces, range_hash, without
 
 SPACE = 0x2581
 _FOREIGN = 0x110000  # a U+2581 of the text itself: no piece has it
-_FILTER = 1 << 20
+_FILTER = 1 << 16
 
 
 class Vocabulary:
@@ -60,9 +60,12 @@ class Vocabulary:
         for n, rows in sorted(by_length.items()):
             rows.sort()
             keys = np.array([r[0] for r in rows], U64)
-            likely = np.zeros(_FILTER, bool)
-            likely[keys & U64(_FILTER - 1)] = True
-            self.tables[n] = (keys, np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows]), likely)
+            # by lower bits: 0 for no key, the place of the only one from 1 on, or -1 for several
+            low = (keys & U64(_FILTER - 1)).astype(np.int64)
+            slots = np.zeros(_FILTER, np.int32)
+            slots[low] = np.arange(1, len(keys) + 1)
+            slots[np.bincount(low, minlength=_FILTER) > 1] = -1
+            self.tables[n] = (keys, np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows]), slots)
 
     @classmethod
     @functools.lru_cache(maxsize=4)
@@ -111,11 +114,13 @@ class Lattice:
                 break
             if length not in vocabulary.tables:
                 continue
-            keys, ids, weights, likely = vocabulary.tables[length]
+            keys, ids, weights, slots = vocabulary.tables[length]
             h = mix(sums[open_] + U64(length * 0x9E3779B97F4A7C15 % (1 << 64)))
-            may = likely[h & U64(_FILTER - 1)]
-            begin, h = open_[may], h[may]
-            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            k = slots[h & U64(_FILTER - 1)]
+            may = np.flatnonzero(k)
+            begin, h, k = open_[may], h[may], k[may] - 1
+            several = np.flatnonzero(k < 0)
+            k[several] = np.minimum(np.searchsorted(keys, h[several]), len(keys) - 1)
             hit = keys[k] == h
             begin, k = begin[hit], k[hit]
             at.append(begin)
@@ -130,34 +135,40 @@ class Lattice:
         piece.append(np.full(len(rest), -1, np.int32))
         weight.append(np.full(len(rest), vocabulary.fallback))
         at, to, piece, weight = map(np.concatenate, (at, to, piece, weight))
-        # a state is a position after which a segment goes on or ends: position p of the segment that holds p - 1
-        order = np.argsort(to * (n + 1) + at)
-        self.at, self.to, self.piece, weight = at[order], to[order], piece[order], weight[order]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.to, minlength=n + 1))])
+        # a state is a position after which a segment goes on or ends: position p of the segment that holds p - 1. Edges lie by the
+        # depth of the state that they reach (characters before it in its segment), then by state, so each depth is one slice
+        depth = place + 1 - np.repeat(starts, size)
+        by = np.argsort(depth, kind="stable") + 1
+        bounds = np.searchsorted(depth[by - 1], np.arange(1, int(size.max(initial=0)) + 2))
+        rank = np.empty(n + 1, np.int64)
+        rank[by] = np.arange(n)
+        longest = int((to - at).max(initial=0)) + 1
+        order = np.argsort(rank[to] * longest + (longest - 1 - (to - at)))
+        self.at, self.piece, weight = at[order], piece[order], weight[order]
+        count = np.bincount(to, minlength=n + 1)[by]
+        stop = np.cumsum(count)
+        self.first, self.last = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        self.first[by], self.last[by] = stop - count, stop - 1
         begins = np.zeros(n + 1, bool)
         begins[starts] = True
-        log = np.zeros(n + 1)
+        source = np.where(begins[self.at], n + 1, self.at)  # a segment's start is a state of its own, with weight 0
+        log = np.zeros(n + 2)
         self.chance = np.empty(len(self.at))
-        depth = np.empty(n + 1, np.int64)  # of state p: characters before it in its segment
-        depth[1:] = place + 1 - np.repeat(starts, size)
-        by = np.argsort(depth[1:], kind="stable") + 1
-        bounds = np.searchsorted(depth[by], np.arange(1, int(size.max(initial=0)) + 2))
-        fresh = begins[self.at]
-        for d in range(len(bounds) - 1):
-            states = by[bounds[d] : bounds[d + 1]]
-            lo, hi = self.first[states], self.first[states + 1]
-            count = hi - lo
-            group = np.cumsum(count) - count
-            edges = np.arange(int(count.sum())) + np.repeat(lo - group, count)
-            x = np.where(fresh[edges], 0.0, log[self.at[edges]]) + weight[edges]
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            if lo == hi:
+                continue
+            a, b = stop[lo] - count[lo], stop[hi - 1]
+            group, own = stop[lo:hi] - count[lo:hi] - a, count[lo:hi]
+            x = log[source[a:b]] + weight[a:b]
             top = np.maximum.reduceat(x, group)
-            total = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, count)), group))
-            log[states] = total
-            self.chance[edges] = np.exp(x - np.repeat(total, count))
+            e = np.exp(x - np.repeat(top, own))
+            total = np.add.reduceat(e, group)
+            log[by[lo:hi]] = top + np.log(total)
+            self.chance[a:b] = e / np.repeat(total, own)
 
     def arrive(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge into each state that u chooses: states have few edges, so they are walked side by side."""
-        edge, last = self.first[state], self.first[state + 1] - 1
+        edge, last = self.first[state], self.last[state]
         left = u - self.chance[edge]
         go = np.flatnonzero((left >= 0) & (edge < last))
         while len(go):
