@@ -51,10 +51,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rate: int
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
     sizes = sizes.withColumn("weight", weight)
     cap = F.col("source_size") * max_rate
+    wide = lambda n: n.cast("decimal(19,0)")  # noqa: E731 - products of sizes and weights pass 64 bits, and a literal's own type may have 32
     total = sizes.agg(F.sum("source_size")).first()[0] or 0
     level, fixed = None, -1
     while True:
-        full = F.lit(False) if level is None else cap * F.lit(level[1]) <= F.lit(level[0]) * F.col("weight")
+        full = F.lit(False) if level is None else wide(cap) * wide(F.lit(level[1])) <= wide(F.lit(level[0])) * wide(F.col("weight"))
         x = sizes.agg(
             F.coalesce(F.sum(F.when(full, cap)), F.lit(0)).alias("held"),
             F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0)).alias("open"),

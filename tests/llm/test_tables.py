@@ -308,6 +308,15 @@ def test_mixing(docs, empty):
     assert source_mixing.mix(empty).count() == 0 and source_mixing.emit(empty).count() == 0
 
 
+@pytest.mark.parametrize("size", [1_000_000_000 // 4, 10**9, 10**15, 6 * 10**17])
+def test_targets_of_large_sources(spark, size):
+    """Shares by weight 5, 2, 1, the first of which is above its cap in the first row: beyond 32 and 64 bits as products."""
+    sizes = spark.createDataFrame([("a", size // 100, 0), ("b", size, 1), ("c", size, 2)], "source string, source_size long, rank long")
+    found = {r.source: r.target for r in source_mixing.targets(sizes).collect()}
+    rest = 2 * size + size // 100 - 3 * (size // 100)
+    assert found == {"a": 3.0 * (size // 100), "b": pytest.approx(rest * 2 / 3), "c": pytest.approx(rest / 3)}
+
+
 def test_encoding(docs, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     coded = sentencepiece_sampling.encode(docs.withColumn("pieces", F.lit(0)), path, seed=3)
