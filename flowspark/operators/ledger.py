@@ -131,7 +131,19 @@ def inexact(transfers: DataFrame, substances: DataFrame) -> DataFrame:
 
 
 def over_ceiling(transfers: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    return replay_records(transfers, seeds).where(F.abs("balance") > F.lit(MAX_COUNT))
+    """Records after which a cell's balance is over the ceiling. Upper and lower halves of counts are summed apart, so no sum
+    leaves 64 bits; a balance that does is over the ceiling, and null."""
+    half, low = 32, (1 << 32) - 1
+    order = Window.partitionBy(*CELL).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = signed_legs(transfers).withColumn("__hi", F.sum(F.shiftright("delta", half)).over(order)).withColumn("__lo", F.sum(F.col("delta").bitwiseAND(F.lit(low))).over(order))
+    if seeds is not None:
+        start = seeds.select("endpoint", "substance", F.coalesce("count", F.lit(0)).alias("__start"))
+        rows = rows.join(start, ["endpoint", "substance"], "left").withColumn("__start", F.coalesce("__start", F.lit(0)))
+        rows = rows.withColumn("__hi", F.col("__hi") + F.shiftright("__start", half)).withColumn("__lo", F.col("__lo") + F.col("__start").bitwiseAND(F.lit(low))).drop("__start")
+    rows = rows.withColumn("__hi", F.col("__hi") + F.shiftright("__lo", half)).withColumn("__lo", F.col("__lo").bitwiseAND(F.lit(low)))
+    fits = F.col("__hi").between(-(1 << 31), (1 << 31) - 1)
+    rows = rows.withColumn("balance", F.when(fits, F.shiftleft("__hi", half).bitwiseOR(F.col("__lo"))))
+    return rows.where(~fits | (F.col("balance") > MAX_COUNT) | (F.col("balance") < -MAX_COUNT)).drop("__hi", "__lo")
 
 
 def divergence(prefix: DataFrame, generated: DataFrame) -> DataFrame:

@@ -58,8 +58,13 @@ def flow(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
     )
     if not numbered:
         return rows
-    order = Window.partitionBy("run_id").orderBy("timestep", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    rows = rows.withColumn("seq", F.row_number().over(order).cast("long"))
+    # runs are few and long: records are numbered by run and timestep, from the number of those of the run's earlier timesteps on
+    counts = rows.groupBy(F.col("run_id").alias("__run"), F.col("timestep").alias("__step")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("__run").orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("__run", "__step", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    order = Window.partitionBy("run_id", "timestep").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = rows.withColumn("__place", F.row_number().over(order))
+    rows = rows.join(F.broadcast(counts), F.col("run_id").eqNullSafe(F.col("__run")) & F.col("timestep").eqNullSafe(F.col("__step"))).withColumn("seq", F.col("__before") + F.col("__place"))
     return rows.select("run_id", "seq", "timestep", "source", F.lit("boundary").alias("source_kind"), "target", F.lit("finite").alias("target_kind"), "substance", "count", (F.col("count").cast("double") * F.lit(QUANTUM)).alias("amount"))
 
 

@@ -42,3 +42,21 @@ def test_resume_compares_the_stored_log_up_to_the_last_timesteps(spark, monkeypa
     QUERIES["resume_divergence"](spark, SF)
     stored, moves = ({r.run_id: r["count"] for r in x.groupBy("run_id").count().collect()} for x in seen[0])
     assert stored.keys() == moves.keys() and all(0.9 * moves[k] <= stored[k] < moves[k] for k in moves)
+
+
+def test_balances_beyond_64_bits_are_over_the_ceiling(spark):
+    from flowspark.operators import ledger
+
+    moves = [("r", k, k, "a", "b", "x", 1 << 61) for k in range(1, 7)] + [("r", k, k, "b", "a", "x", 3 << 61) for k in (7, 8)] + [("r", 9, 9, "a", "b", "y", 1 << 53), ("r", 10, 10, "a", "b", "y", 1)]
+    moves = spark.createDataFrame(moves, "run_id string, seq long, timestep long, source string, target string, substance string, count long")
+    seeds = spark.createDataFrame([("a", "x", 3), ("b", "x", -3), ("a", "y", 0), ("b", "y", 0)], "endpoint string, substance string, count long")
+    for start in (None, seeds):
+        balance, want = {("a", "x"): 3 if start else 0, ("b", "x"): -3 if start else 0}, []
+        for r in moves.orderBy("seq").collect():
+            for cell, delta in (((r.source, r.substance), -r["count"]), ((r.target, r.substance), r["count"])):
+                balance[cell] = now = balance.get(cell, 0) + delta
+                if abs(now) > 1 << 53:
+                    want.append((r.seq, *cell, delta, now if -(1 << 63) <= now < 1 << 63 else None))
+        assert any(w[-1] is None for w in want)
+        found = ledger.over_ceiling(moves, start).select("seq", "endpoint", "substance", "delta", "balance").collect()
+        assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
