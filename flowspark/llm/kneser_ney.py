@@ -186,17 +186,37 @@ def _ask_rows(text: str, lang: str):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's rows sorted by key, as the bytes of their keys and of their values."""
+    rows = [(np.asarray(b.column("key")).view(U64), np.asarray(b.column("x"))) for b in batches if b.num_rows]
+    if rows:
+        keys, x = (np.concatenate(c) for c in zip(*rows, strict=True))
+        order = np.argsort(keys)
+        yield pa.RecordBatch.from_arrays([pa.array([c[order].tobytes()], pa.binary()) for c in (keys, x)], names=["keys", "x"])
+
+
+def _gathered(model: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The model's keys, in unsigned order, and values. They come range by range, so the driver holds them once."""
+    keys, values, at = np.empty(count, U64), np.empty(count), 0
+    ranges = model.repartitionByRange(F.col("key").bitwiseXOR(F.lit(-(1 << 63)))).mapInArrow(_packed, "keys binary, x binary")
+    for row in ranges.toLocalIterator():
+        part = np.frombuffer(row.keys, U64)
+        keys[at : at + len(part)], values[at : at + len(part)] = part, np.frombuffer(row.x)
+        at += len(part)
+    return keys, values
+
+
 def perplexities(docs: DataFrame, model: DataFrame, settings: Settings = Settings(), text: str = "text", lang: str = "lang") -> DataFrame:
     """docs with n_tokens and log10_prob (null without a model of the language)."""
     docs = without(docs, OWN)
     names = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    rows = model.limit(settings.broadcast_rows + 1).toArrow() if settings.broadcast_rows else None
-    if rows is not None and rows.num_rows <= settings.broadcast_rows:
-        keys = np.asarray(rows.column("key")).astype(np.int64).view(U64)
-        order = np.argsort(keys)
-        shared = docs.sparkSession.sparkContext.broadcast((keys[order], np.asarray(rows.column("x")).astype(np.float64)[order]))
-        return docs.mapInArrow(_score(names, text, lang, shared), f"{fields}, n_tokens long, log10_prob double")
+    count = model.count() if settings.broadcast_rows else 0
+    if settings.broadcast_rows and count <= settings.broadcast_rows:
+        shared = docs.sparkSession.sparkContext.broadcast(_gathered(model, count))
+        out = docs.mapInArrow(_score(names, text, lang, shared), f"{fields}, n_tokens long, log10_prob double")
+        out._shared = shared
+        return out
     numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
     asked = numbered.mapInArrow(_ask_rows(text, lang), "row long, place long, kind int, key long")
     got = asked.join(model, "key", "left").groupBy("row", "place").agg(*[F.max(F.when(F.col("kind") == k, F.col("x"))).alias(f"x{k}") for k in range(6)])
@@ -226,8 +246,11 @@ def classify(docs: DataFrame, trusted: DataFrame, settings: Settings = Settings(
     picked = small(cut(chosen.select(F.col("lang").alias("__of"), F.col("__key").alias("__id"))))
     sample = docs.join(picked, (docs[key] == F.col("__id")) & docs[lang].eqNullSafe(F.col("__of"))).groupBy(F.col("__of").alias("lang"), "__id").agg(F.min(text).alias("text"))
     model = fit(sample)
-    scored = perplexities(docs, model, settings, text, lang)
-    scored = cut(scored if keep_text else scored.drop(text))
+    read = perplexities(docs, model, settings, text, lang)
+    scored = cut(read if keep_text else read.drop(text))
+    if hasattr(read, "_shared"):
+        read._shared.destroy()
+    release(model)
     step = F.floor(-F.col("log10_prob") / F.col("n_tokens") * 1000)
     marks = scored.select(F.col(key).alias("__key"), F.col(lang).alias("__lang"), step.alias("__step")).where("__step IS NOT NULL")
     outside = pairs.where("__held").select("__key").distinct().withColumn("__trusted", F.lit(True))

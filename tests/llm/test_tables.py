@@ -401,6 +401,18 @@ def test_classifier_equals_plain_kneser_ney(spark, docs):
             assert x.log10_prob is None if x.lang == "xx" else math.isclose(x.log10_prob, want[x.lang](x.text), rel_tol=1e-9), (x, n)
 
 
+def test_classifier_model_reaches_the_driver_by_ranges(spark, monkeypatch):
+    """Never as one Arrow table, of which sorting makes copies; keys in unsigned order."""
+    r = random.Random(6)
+    rows = {r.randrange(-(1 << 63), 1 << 63): r.random() for _ in range(5000)} | {-(1 << 63): 0.5, (1 << 63) - 1: 0.25, 0: 1.0, -1: 2.0}
+    model = spark.createDataFrame(list(rows.items()), "key long, x double").repartition(7)
+    monkeypatch.setattr(type(model), "toArrow", lambda self: pytest.fail("gathered whole"))
+    keys, values = kneser_ney._gathered(model, model.count())
+    assert dict(zip(keys.view(np.int64).tolist(), values.tolist(), strict=True)) == rows and (keys[1:] > keys[:-1]).all()
+    docs = spark.createDataFrame([(k, "a b c", "en") for k in range(9)], "doc_id long, text string, lang string")
+    assert kneser_ney.classify(docs, docs).count() == 9
+
+
 def test_classifier_holds_out_at_every_size(spark):
     """Of few trusted documents too a share sets the threshold, so junk goes; the model and its limits do not depend on the bound."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
