@@ -71,6 +71,35 @@ def test_components(spark):
     assert {x.root for x in components(spark.createDataFrame(star, "u long, v long")).collect()} == {1}
 
 
+@pytest.mark.parametrize("rows", [100_000, 50])
+def test_components_in_one_task_or_by_stars(spark, monkeypatch, rows):
+    """Chains in random order, trees and a large star, against a search; few edges take no step of their own."""
+    from flowspark.llm import components as module
+
+    steps = []
+    monkeypatch.setattr(module, "ROWS", rows)
+    monkeypatch.setattr(module, "_is_stars", lambda edges, own=module._is_stars: steps.append(1) or own(edges))
+    r = random.Random(3)
+    names = r.sample(range(-(1 << 61), 1 << 61), 900)
+    edges = [(names[k], names[k + 1]) for k in range(200)] + [(names[300], names[k]) for k in range(301, 700)] + [(names[k], names[r.randrange(700, k)]) for k in range(701, 850)]
+    near = defaultdict(set)
+    for u, v in edges:
+        near[u].add(v)
+        near[v].add(u)
+    want, seen = {}, set()
+    for u in sorted(near):
+        todo = [] if u in seen else [u]
+        seen.add(u)
+        while todo:
+            for v in near[todo.pop()] - seen:
+                seen.add(v)
+                want[v] = u
+                todo.append(v)
+    table = spark.createDataFrame([*edges, (5, 5), (None, 4), (4, None), *edges[:9]], "u long, v long")
+    assert {x.u: x.root for x in module.components(table).collect()} == want and bool(steps) == (rows == 50)
+    assert module.components(table.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("percent", [85, 80])
 def test_near_duplicates(docs, percent):
     rows = docs.collect()
